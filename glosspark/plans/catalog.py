@@ -81,3 +81,88 @@ for _name, _sf, _qf, _c in _T_OPS:
 def t20(spark, sf_dir):
     from glosspark.session import table
     return table(spark, sf_dir, "documents").select("doc_id", N.extract_generation(F.col("text")).alias("out"))
+
+
+# --- M*: evaluation ---------------------------------------------------------------
+
+from glosspark.operators.metrics import corpus as MC  # noqa: E402
+from glosspark.operators.metrics import pairwise as MP  # noqa: E402
+from glosspark.plans import oracle_metrics as OM  # noqa: E402
+
+_MCOLS = ", ".join(MP.METRIC_COLUMNS)
+
+
+@register("m1_sentence_metrics", OM.per_pair_metrics_sql())
+def m1(spark, sf_dir):
+    """M1 + M5 + M6 + M7 per pair (case-sensitive tokens, stemmer off)."""
+    p = FX.preds(spark, sf_dir).select("id", "prediction", "reference")
+    return MP.score_pairs(p).drop("prediction", "reference")
+
+
+@register("m2_sentence_metrics_lower", OM.per_pair_metrics_sql(lower=True))
+def m2(spark, sf_dir):
+    """M2 (+ lower-cased WER of C6/C12): the same per-pair metrics on lower-cased text."""
+    p = FX.preds(spark, sf_dir).select("id", "prediction", "reference")
+    return MP.score_pairs(p, lower=True).drop("prediction", "reference")
+
+
+@register("m3_corpus_bleu", OM.corpus_bleu_sql())
+def m3(spark, sf_dir):
+    return MC.corpus_bleu(FX.preds(spark, sf_dir))
+
+
+@register("m4_corpus_bleu_13a", OM.corpus_bleu_13a_sql())
+def m4(spark, sf_dir):
+    return MC.corpus_bleu_13a(FX.preds(spark, sf_dir))
+
+
+@register("m8_gloss_accuracy", OM.gloss_accuracy_sql())
+def m8(spark, sf_dir):
+    p = FX.preds(spark, sf_dir).select("id", "ref_gloss", "pred_gloss")
+    return MP.score_gloss_accuracy(p).select("id", "gloss_accuracy")
+
+
+_MEANS = ", ".join(f"round(coalesce(avg({m}), 0.0), 6) AS {m}" for m in MP.METRIC_COLUMNS)
+
+
+@register("m9_metric_means", f"SELECT {_MEANS}, count(*) AS n_pairs FROM (" + OM.per_pair_metrics_sql() + ")")
+def m9(spark, sf_dir):
+    """M9: the reference's calculate_metrics result (means; 0.0 for no pairs)."""
+    return MC.metric_means(m1(spark, sf_dir))
+
+
+@register("f5_metric_means_nonempty",
+          f"SELECT {_MEANS}, count(*) AS n_pairs FROM (" + OM.per_pair_metrics_sql(
+              src_ctes=O.BASE + (O.PREDS, "nonempty AS (SELECT * FROM preds WHERE trim(prediction) <> '')"),
+              src="nonempty") + ")")
+def f5(spark, sf_dir):
+    """score only pairs with a non-empty hypothesis."""
+    p = FX.preds(spark, sf_dir).filter(F.trim("prediction") != "").select("id", "prediction", "reference")
+    return MC.metric_means(MP.score_pairs(p).drop("prediction", "reference"))
+
+
+_POST = ("post AS (SELECT id, reference, " + O.post_process_text("prediction") + " AS prediction FROM preds)")
+
+
+@register("m10_post_processed_means",
+          f"SELECT {_MEANS}, count(*) AS n_pairs FROM (" + OM.per_pair_metrics_sql(
+              src_ctes=O.BASE + (O.PREDS, _POST), src="post") + ")")
+def m10(spark, sf_dir):
+    """Predictions pass through the text post-processor (T13) before scoring."""
+    p = FX.preds(spark, sf_dir).select("id", "reference", N.post_process_text(F.col("prediction")).alias("prediction"))
+    return MC.metric_means(MP.score_pairs(p).drop("prediction", "reference"))
+
+
+_BYLANG = ("bylang AS (SELECT p.id, p.prediction, p.reference, d.lang AS dataset FROM preds p "
+           "JOIN documents d ON d.doc_id = p.doc_id)")
+
+
+@register("m11_metrics_by_dataset",
+          f"SELECT dataset, {_MEANS}, count(*) AS n_pairs FROM (" + OM.per_pair_metrics_sql(
+              src_ctes=O.BASE + (O.PREDS, _BYLANG), src="bylang", keep=",dataset") + ") GROUP BY dataset")
+def m11(spark, sf_dir):
+    """Per-dataset metric table (dataset = document language)."""
+    from glosspark.session import table
+    langs = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("dataset"))
+    p = FX.preds(spark, sf_dir).join(langs, "doc_id").select("id", "dataset", "prediction", "reference")
+    return MC.metric_means(MP.score_pairs(p).drop("prediction", "reference"), ["dataset"])
