@@ -16,8 +16,9 @@ from pyspark.sql import types as T
 
 from glosspark.functions import lexicon as L
 from glosspark.functions.text import col, is_upper_token, words
-from glosspark.operators.metrics.tokens import (SEP, clipped_matches, ngrams, reverse_occurrence_tags,
-                                                safe_div, tags_of_sorted, word_levenshtein)
+from glosspark.operators.metrics.tokens import (clipped_matches, code_string, codes_from_runs, ngrams,
+                                                positional_tags_from_runs, reverse_occurrence_tags,
+                                                run_starts, safe_div, tags_from_runs, word_levenshtein)
 
 ORDERS = (1, 2, 3, 4)
 
@@ -174,9 +175,9 @@ def score_pairs(df, prediction: str = "prediction", reference: str = "reference"
     """M1 + M5 + M6 + M7 for every row: the reference's `calculate_metrics`, per pair.
 
     `lower=True` gives the lower-cased variants (M2 BLEU, C6/C12 WER). Narrow
-    projections only: the pairs are scored where they sit, no shuffle. Arrays
-    that a lambda searches are staged as columns first, so each is built once
-    per row instead of once per element."""
+    projections only: the pairs are scored where they sit, no shuffle. Each
+    stage adds named columns so later lambdas read materialised arrays, and all
+    multiset work is sort + run-length, O(L log L) per pair even for very long lines."""
     keep = df.columns
     pred = F.lower(F.col(prediction)) if lower else F.col(prediction)
     ref = F.lower(F.col(reference)) if lower else F.col(reference)
@@ -189,31 +190,25 @@ def score_pairs(df, prediction: str = "prediction", reference: str = "reference"
     for n in (1, 2):
         grams[f"_xh{n}"] = ngrams(c("_rh"), n)
         grams[f"_xr{n}"] = ngrams(c("_rr"), n)
+    gram_cols = list(grams)
     for side, tok in (("_mh", "_h"), ("_mr", "_r")):
         n_ = F.size(tok)
         grams[side + "s"] = F.array_sort(F.transform(
             c(tok), lambda t, i: F.struct(F.lower(t).alias("v"), (n_ - 1 - i).alias("p"))))
-    grams["_voc"] = F.array_distinct(F.concat(c("_h"), c("_r")))
+    grams["_all"] = F.array_sort(F.concat(
+        F.transform(c("_h"), lambda t, i: F.struct(t.alias("v"), F.lit(0).alias("s"), i.alias("p"))),
+        F.transform(c("_r"), lambda t, i: F.struct(t.alias("v"), F.lit(1).alias("s"), i.alias("p")))))
     grams["_lcs"] = lcs_length(c("_rh"), c("_rr"))
     d = _stage(d, **grams)
-    gram_cols = [k for k in grams if k.startswith(("_hg", "_rg", "_xh", "_xr"))]
-    srt = {k + "s": F.array_sort(c(k)) for k in gram_cols}
-    srt["_mhv"] = F.transform(c("_mhs"), lambda x: x["v"])
-    srt["_mrv"] = F.transform(c("_mrs"), lambda x: x["v"])
-
-    def code(arr):   # each distinct token of the pair -> one code point
-        cps = F.transform(c(arr), lambda t: F.lpad(F.hex(F.array_position(c("_voc"), t) + 65535), 8, "0"))
-        return F.when(F.size("_voc") >= 0, F.decode(F.unhex(F.array_join(cps, "")), "utf-32"))
-
-    srt["_hc"], srt["_rc"] = code("_h"), code("_r")
-    d = _stage(d, **srt)
-    tags = {k + "t": tags_of_sorted(c(k + "s")) for k in gram_cols}
+    d = _stage(d, **{k + "s": F.array_sort(c(k)) for k in gram_cols})
+    starts = {k + "sr": run_starts(c(k + "s")) for k in gram_cols}
+    for k in ("_mhs", "_mrs", "_all"):
+        starts[k + "r"] = run_starts(c(k), lambda e: e["v"])   # -> _mhsr, _mrsr, _allr
+    d = _stage(d, **starts)
+    tags = {k + "t": tags_from_runs(c(k + "s"), c(k + "sr")) for k in gram_cols}
     for side in ("_mh", "_mr"):
-        v = c(side + "v")
-        tags[side + "t0"] = F.when(F.size(v) >= 0, F.transform(c(side + "s"), lambda x, k: F.struct(
-            x["p"].alias("p"),
-            F.concat(x["v"], F.lit(SEP), (k + 1 - F.array_position(v, x["v"])).cast("string")).alias("tag"))))
-    tags["_lev"] = F.levenshtein(c("_hc"), c("_rc"))
+        tags[side + "t0"] = positional_tags_from_runs(c(side + "s"), c(side + "sr"))
+    tags["_codes"] = codes_from_runs(c("_all"), c("_allr"))
     d = _stage(d, **tags)
     cnt = {}
     for n in ORDERS:
@@ -223,9 +218,12 @@ def score_pairs(df, prediction: str = "prediction", reference: str = "reference"
         cnt[f"_xm{n}"] = F.size(F.array_intersect(c(f"_xh{n}t"), c(f"_xr{n}t")))
     for side in ("_mh", "_mr"):   # back to sentence order: k-th-from-last occurrence tags
         cnt[side + "t"] = F.reverse(F.transform(F.array_sort(c(side + "t0")), lambda x: x["tag"]))
+    for side, sid in (("_hc", 0), ("_rc", 1)):
+        cnt[side] = code_string(F.transform(
+            F.array_sort(F.filter(c("_codes"), lambda x: x["s"] == sid)), lambda x: x["code"]))
     d = _stage(d, **cnt)
     mrt = c("_mrt")
-    d = _stage(d, _mp=F.when(F.size(mrt) >= 0, F.filter(
+    d = _stage(d, _lev=F.levenshtein(c("_hc"), c("_rc")), _mp=F.when(F.size(mrt) >= 0, F.filter(
         F.transform(c("_mht"), lambda t, i: F.struct(i.alias("i"), (F.array_position(mrt, t) - 1).alias("j"))),
         lambda x: x["j"] >= 0)))
     st = F.struct(*[c(f"{x}{n}") for n in ORDERS for x in ("m", "d")],

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from glosspark.functions.text import join_words, words
 from glosspark.operators.ordinals import sorted_ordinal
-from glosspark.session import table
+from glosspark.session import ensure_parallelism, table
 
 # --- fixed values of the derivation (shared with the SQL twin) ---------------
 PRONOUN_MARKERS = ["X-I", "X-WE", "X-Y", "X-THEY"]
@@ -48,7 +48,7 @@ def derive_gloss(line) -> F.Column:
 
 
 def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = ensure_parallelism(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
 
 
