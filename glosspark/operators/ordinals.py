@@ -42,9 +42,18 @@ def with_ordinal(df: DataFrame, name: str = "ord") -> DataFrame:
               .drop("_mid", "_pid", "_off")
 
 
-def sorted_ordinal(df: DataFrame, order_cols: list, name: str = "ord") -> DataFrame:
-    """Dense 0-based rank by `order_cols` via a range-partitioned sort (no global window)."""
-    return with_ordinal(df.orderBy(*order_cols), name)
+def sorted_ordinal(df: DataFrame, order_cols: list, name: str = "ord", partitions: int | None = None) -> DataFrame:
+    """Dense 0-based rank by `order_cols` via a range-partitioned sort (no global window).
+
+    Range bounds come from a sample whose outcome depends on row order after
+    the previous shuffle, so the sorted data is materialised once with a
+    reliable checkpoint (the cluster's shared checkpoint folder): the counting
+    and numbering passes then read the very same partitions, and a lost
+    executor cannot make them disagree."""
+    from glosspark.session import cut_lineage
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut_lineage(df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols))
+    return with_ordinal(ranged, name)
 
 
 # ---------------------------------------------------------------------------

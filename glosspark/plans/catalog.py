@@ -166,3 +166,6 @@ def m11(spark, sf_dir):
     langs = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("dataset"))
     p = FX.preds(spark, sf_dir).join(langs, "doc_id").select("id", "dataset", "prediction", "reference")
     return MC.metric_means(MP.score_pairs(p).drop("prediction", "reference"), ["dataset"])
+
+
+from glosspark.plans import catalog_corpus  # noqa: E402,F401  (registers corpus queries)

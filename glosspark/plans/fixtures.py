@@ -48,7 +48,7 @@ def derive_gloss(line) -> F.Column:
 
 
 def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = ensure_parallelism(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = ensure_parallelism(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
 
 

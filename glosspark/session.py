@@ -53,14 +53,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def ensure_parallelism(df: DataFrame, factor: int = 2) -> DataFrame:
+def ensure_parallelism(df: DataFrame, key: str, factor: int = 2) -> DataFrame:
     """Spread a scan that arrives in too few partitions (one small file / one row group).
 
     Large tables already come in thousands of splits, so this is a no-op there
     (no shuffle); only a source with fewer partitions than the cluster has
-    cores is redistributed round-robin.
+    cores is hash-distributed on its key. (Round-robin would not do: its row
+    placement depends on which columns survive pruning, so two branches of one
+    plan could see different partitions.)
     """
     want = df.sparkSession.sparkContext.defaultParallelism * factor
     if df.rdd.getNumPartitions() < want // factor:
-        return df.repartition(want)
+        return df.repartition(want, key)
     return df
