@@ -578,3 +578,65 @@ def m14(spark, sf_dir):
                       F.count(F.when(F.col("split") == "validation", 1)).alias("validation"))
     one = F.lit(1).alias("_k")
     return stage.select("*", one).join(sizes.select("*", one), "_k").drop("_k")
+
+
+# --- U2, M12, M13 ----------------------------------------------------------------------
+
+from glosspark.operators import inference as INF  # noqa: E402
+from glosspark.operators.metrics import corpus as MC  # noqa: E402
+from glosspark.operators.metrics import pairwise as MP  # noqa: E402
+from glosspark.plans import oracle_metrics as OM  # noqa: E402
+
+
+@register("u2_batch_inference_postprocessed",
+          O.WITH_PREDS + f"SELECT id, {O.post_process_text_ws('ws')} AS prediction FROM "
+          f"(SELECT id, {O.words('lower(ref_gloss)')} AS ws FROM preds)")
+def u2(spark, sf_dir):
+    """A predictor over the gloss column in Arrow batches of 32, then T13 post-processing."""
+    p = FX.preds(spark, sf_dir).select("id", "ref_gloss")
+    out = INF.batch_infer(p, "ref_gloss", INF.lowercase_gloss_model, "raw")
+    return out.select("id", N.post_process_text(F.col("raw")).alias("prediction"))
+
+
+@register("m12_pair_report",
+          O.with_views(*O.BASE, O.PREDS) + "SELECT p.id, p.ref_gloss AS input, p.reference, p.prediction, m.* EXCLUDE (id) "
+          "FROM preds p JOIN (" + OM.per_pair_metrics_sql() + ") m USING (id)")
+def m12(spark, sf_dir):
+    """Per pair input, reference, prediction and every metric."""
+    p = FX.preds(spark, sf_dir).select("id", F.col("ref_gloss").alias("input"), "reference", "prediction")
+    return MP.score_pairs(p)
+
+
+_BASELINE = ("base AS (SELECT id, doc_id, reference, "
+             + O.join(f"list_filter({O.words('reference')}, lambda t, i: (i - 1) % 2 = 0)")
+             + " AS prediction FROM preds)")
+_LANG = "lang AS (SELECT doc_id, lang AS dataset FROM documents)"
+
+
+def _m13_sql() -> str:
+    def model(src, name):
+        return (f"SELECT '{name}' AS model, l.dataset, avg(m.bleu_4) AS b4 FROM ("
+                + OM.per_pair_metrics_sql(src_ctes=O.BASE + (O.PREDS, _BASELINE), src=src, keep=",doc_id")
+                + ") m JOIN lang l USING (doc_id) GROUP BY 1, 2")
+    return (O.with_views(_LANG) + "SELECT a.dataset, round(a.b4, 6) AS model_bleu_4, round(b.b4, 6) AS baseline_bleu_4, "
+            "round(CASE WHEN b.b4 > 0 THEN (a.b4 - b.b4) / b.b4 * 100 END, 6) AS gain_pct FROM ("
+            + model("preds", "model") + ") a JOIN (" + model("base", "baseline") + ") b USING (dataset)")
+
+
+@register("m13_relative_gain", _m13_sql())
+def m13(spark, sf_dir):
+    """BLEU-4 of a model vs a baseline per dataset; relative gain in percent (self-join)."""
+    langs = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("dataset"))
+    p = FX.preds(spark, sf_dir).select("id", "doc_id", "reference", "prediction")
+    words = F.split(F.regexp_replace(F.col("reference"), r"(?U)^\s+|\s+\z", ""), r"(?U)\s+")
+    base = p.withColumn("prediction", F.when(F.trim("reference") == "", F.lit(""))
+                        .otherwise(F.array_join(F.filter(words, lambda t, i: i % 2 == 0), " ")))
+
+    def mean_b4(df, name):
+        s = MP.score_pairs(df).join(langs, "doc_id")   # per-pair values rounded as in the pair report
+        return s.groupBy("dataset").agg(F.avg("bleu_4").alias(name))
+
+    a, b = mean_b4(p, "a"), mean_b4(base, "b")
+    j = a.join(b, "dataset")
+    return j.select("dataset", F.round("a", 6).alias("model_bleu_4"), F.round("b", 6).alias("baseline_bleu_4"),
+                    F.round(F.when(F.col("b") > 0, (F.col("a") - F.col("b")) / F.col("b") * 100), 6).alias("gain_pct"))
