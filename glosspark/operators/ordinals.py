@@ -114,29 +114,39 @@ def _locate(keys: DataFrame, n: int, rank: int):
 def _quota_side(group: DataFrame, thresholds: list[int], base: int, side_col: str) -> DataFrame:
     """Sides inside a group of identical rows: row g (0-based, partition order) gets
     base + #{thresholds <= g}. Identical rows make the choice of physical rows irrelevant;
-    only per-partition counts (deterministic) are used."""
-    counts = dict((r[0], r[1]) for r in group.groupBy(F.spark_partition_id()).count().collect())
+    only per-partition counts (deterministic) are used. The partition id is read from a
+    column computed right above the group's own partitioning (a task's partition id would
+    be the id inside any later union)."""
+    tagged = group.withColumn("_pid", F.spark_partition_id())
+    counts = dict((r[0], r[1]) for r in tagged.groupBy("_pid").count().collect())
     offsets, acc = {}, 0
     for pid in sorted(counts):
         offsets[pid] = acc
         acc += counts[pid]
     ths = sorted(thresholds)
     schema = T.StructType(group.schema.fields + [T.StructField(side_col, T.IntegerType())])
+    names = group.columns
 
     def assign(batches):
-        from pyspark import TaskContext
-        g = offsets.get(TaskContext.get().partitionId(), 0)
+        g = None
         for pdf in batches:
-            pdf[side_col] = [base + bisect.bisect_right(ths, i) for i in range(g, g + len(pdf))]
+            if len(pdf) == 0:
+                continue
+            if g is None:
+                g = offsets.get(int(pdf["_pid"].iloc[0]), 0)
+            out = pdf[names].copy()
+            out[side_col] = [base + bisect.bisect_right(ths, i) for i in range(g, g + len(pdf))]
             g += len(pdf)
-            yield pdf
+            yield out
 
-    return group.mapInPandas(assign, schema)
+    return tagged.mapInPandas(assign, schema)
 
 
-def exact_cut(df: DataFrame, cuts: list[int], side_col: str = "_side") -> DataFrame:
+def exact_cut(df: DataFrame, cuts, side_col: str = "_side") -> DataFrame:
     """Side i = rows whose rank in (_h, _t) order lies in [cuts[i-1], cuts[i]).
 
+    `cuts` is a list, or a function of the row count returning one (the count
+    then comes from the same pass that materialises the narrow key columns).
     `df` must carry `_h`/`_t` (see `rank_keys`) and be deterministic.
     """
     from pyspark import StorageLevel
@@ -144,6 +154,8 @@ def exact_cut(df: DataFrame, cuts: list[int], side_col: str = "_side") -> DataFr
     keys = df.select("_h", "_t").persist(StorageLevel.MEMORY_AND_DISK)
     try:
         n = keys.count()
+        if callable(cuts):
+            cuts = cuts(n)
         bounds = []
         for c in sorted(cuts):
             if c <= 0:

@@ -43,8 +43,7 @@ def assign_split(df: DataFrame, sizes_from_n, names: list[str], key="id", seed=L
     """Generic exact split: `sizes_from_n(n)` gives the cut points in rank order.
     `keep_keys` keeps the order columns (_h, _t) for later first-seen logic."""
     kd = _keyed(df, key, seed)
-    n = kd.count()
-    cut = exact_cut(kd, sizes_from_n(n))
+    cut = exact_cut(kd, sizes_from_n)
     name = F.element_at(F.array(*[F.lit(x) for x in names]), F.col("_side") + 1)
     out = cut.withColumn(split_col, name).drop("_side")
     return out if keep_keys else out.drop("_h", "_t")
