@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from glosspark.functions import lexicon as L
 from glosspark.functions.text import col, is_upper_token, words
-from glosspark.operators.metrics.tokens import (clipped_matches, code_string, codes_from_runs, ngrams,
+from glosspark.operators.metrics.tokens import (clipped_matches, code_string, codes_from_runs, next_grams, ngrams,
                                                 positional_tags_from_runs, reverse_occurrence_tags,
                                                 run_starts, safe_div, tags_from_runs, word_levenshtein)
 
@@ -183,14 +183,16 @@ def score_pairs(df, prediction: str = "prediction", reference: str = "reference"
     ref = F.lower(F.col(reference)) if lower else F.col(reference)
     c = F.col
     d = _stage(df, _h=words(pred), _r=words(ref), _rh=rouge_tokens(pred), _rr=rouge_tokens(ref))
-    grams = {}
-    for n in ORDERS:
-        grams[f"_hg{n}"] = ngrams(c("_h"), n)
-        grams[f"_rg{n}"] = ngrams(c("_r"), n)
-    for n in (1, 2):
-        grams[f"_xh{n}"] = ngrams(c("_rh"), n)
-        grams[f"_xr{n}"] = ngrams(c("_rr"), n)
+    # n-grams built incrementally (order n from order n-1), one stage per order
+    d = _stage(d, _hg1=c("_h"), _rg1=c("_r"), _xh1=c("_rh"), _xr1=c("_rr"),
+               _hg2=next_grams(c("_h"), c("_h"), 2), _rg2=next_grams(c("_r"), c("_r"), 2),
+               _xh2=next_grams(c("_rh"), c("_rh"), 2), _xr2=next_grams(c("_rr"), c("_rr"), 2))
+    d = _stage(d, _hg3=next_grams(c("_hg2"), c("_h"), 3), _rg3=next_grams(c("_rg2"), c("_r"), 3))
+    d = _stage(d, _hg4=next_grams(c("_hg3"), c("_h"), 4), _rg4=next_grams(c("_rg3"), c("_r"), 4))
+    grams = {k: None for n in ORDERS for k in (f"_hg{n}", f"_rg{n}")}
+    grams.update({k: None for n in (1, 2) for k in (f"_xh{n}", f"_xr{n}")})
     gram_cols = list(grams)
+    grams = {}
     for side, tok in (("_mh", "_h"), ("_mr", "_r")):
         n_ = F.size(tok)
         grams[side + "s"] = F.array_sort(F.transform(
@@ -222,10 +224,15 @@ def score_pairs(df, prediction: str = "prediction", reference: str = "reference"
         cnt[side] = code_string(F.transform(
             F.array_sort(F.filter(c("_codes"), lambda x: x["s"] == sid)), lambda x: x["code"]))
     d = _stage(d, **cnt)
-    mrt = c("_mrt")
-    d = _stage(d, _lev=F.levenshtein(c("_hc"), c("_rc")), _mp=F.when(F.size(mrt) >= 0, F.filter(
-        F.transform(c("_mht"), lambda t, i: F.struct(i.alias("i"), (F.array_position(mrt, t) - 1).alias("j"))),
-        lambda x: x["j"] >= 0)))
+    # METEOR alignment by sort-merge: equal tags (one per side) end up adjacent, hypothesis first
+    d = _stage(d, _lev=F.levenshtein(c("_hc"), c("_rc")), _mb=F.array_sort(F.concat(
+        F.transform(c("_mht"), lambda t, i: F.struct(t.alias("tag"), F.lit(0).alias("s"), i.alias("p"))),
+        F.transform(c("_mrt"), lambda t, j: F.struct(t.alias("tag"), F.lit(1).alias("s"), j.alias("p"))))))
+    mb = c("_mb")
+    hits = F.transform(F.sequence(F.lit(0), F.greatest(F.size(mb) - 2, F.lit(0))), lambda k: F.when(
+        (k + 1 < F.size(mb)) & (F.get(mb, k)["tag"] == F.get(mb, k + 1)["tag"]),
+        F.struct(F.get(mb, k)["p"].alias("i"), F.get(mb, k + 1)["p"].alias("j"))))
+    d = _stage(d, _mp=F.array_sort(F.filter(hits, lambda x: x.isNotNull())))
     st = F.struct(*[c(f"{x}{n}") for n in ORDERS for x in ("m", "d")],
                   F.size("_h").alias("hl"), F.size("_r").alias("rl"))
     out = {f"bleu_{k}": smoothed_bleu(st, k) for k in ORDERS}

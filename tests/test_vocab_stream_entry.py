@@ -25,7 +25,9 @@ def test_encode_decode_roundtrip(spark):
 def test_streaming_matches_batch(spark, tmp_path):
     from glosspark.streaming.prepare import prepare_lines, start_to_parquet, stream_prepared
     src = "/root/testdata/sf0.001/documents*.parquet"
-    q = start_to_parquet(stream_prepared(spark, src), str(tmp_path / "out"), name=f"t{tmp_path.name}")
+    import uuid
+    # a fresh query name: a reused name resumes from its committed offsets (by design)
+    q = start_to_parquet(stream_prepared(spark, src), str(tmp_path / "out"), name=f"test-{uuid.uuid4().hex}")
     q.awaitTermination(300)
     streamed = spark.read.parquet(str(tmp_path / "out"))
     batch = prepare_lines(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
