@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from glosspark.functions import lexicon as L
 from glosspark.functions.text import col, is_upper_token, words
 from glosspark.operators.metrics.tokens import (clipped_matches, code_string, codes_from_runs, next_grams, ngrams,
+                                                staged_clipped_matches,
                                                 positional_tags_from_runs, reverse_occurrence_tags,
                                                 run_starts, safe_div, tags_from_runs, word_levenshtein)
 
@@ -202,22 +203,20 @@ def score_pairs(df, prediction: str = "prediction", reference: str = "reference"
         F.transform(c("_r"), lambda t, i: F.struct(t.alias("v"), F.lit(1).alias("s"), i.alias("p")))))
     grams["_lcs"] = lcs_length(c("_rh"), c("_rr"))
     d = _stage(d, **grams)
-    d = _stage(d, **{k + "s": F.array_sort(c(k)) for k in gram_cols})
-    starts = {k + "sr": run_starts(c(k + "s")) for k in gram_cols}
+    match_pairs = [(f"_hg{n}", f"_rg{n}", f"m{n}") for n in ORDERS] + [(f"_xh{n}", f"_xr{n}", f"_xm{n}") for n in (1, 2)]
+    d = staged_clipped_matches(d, match_pairs, _stage)
+    starts = {}
     for k in ("_mhs", "_mrs", "_all"):
         starts[k + "r"] = run_starts(c(k), lambda e: e["v"])   # -> _mhsr, _mrsr, _allr
     d = _stage(d, **starts)
-    tags = {k + "t": tags_from_runs(c(k + "s"), c(k + "sr")) for k in gram_cols}
+    tags = {}
     for side in ("_mh", "_mr"):
         tags[side + "t0"] = positional_tags_from_runs(c(side + "s"), c(side + "sr"))
     tags["_codes"] = codes_from_runs(c("_all"), c("_allr"))
     d = _stage(d, **tags)
     cnt = {}
     for n in ORDERS:
-        cnt[f"m{n}"] = F.size(F.array_intersect(c(f"_hg{n}t"), c(f"_rg{n}t")))
         cnt[f"d{n}"] = F.greatest(F.size(c(f"_hg{n}")), F.lit(1))
-    for n in (1, 2):
-        cnt[f"_xm{n}"] = F.size(F.array_intersect(c(f"_xh{n}t"), c(f"_xr{n}t")))
     for side in ("_mh", "_mr"):   # back to sentence order: k-th-from-last occurrence tags
         cnt[side + "t"] = F.reverse(F.transform(F.array_sort(c(side + "t0")), lambda x: x["tag"]))
     for side, sid in (("_hc", 0), ("_rc", 1)):
