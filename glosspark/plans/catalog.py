@@ -162,9 +162,7 @@ _BYLANG = ("bylang AS (SELECT p.id, p.prediction, p.reference, d.lang AS dataset
               src_ctes=O.BASE + (O.PREDS, _BYLANG), src="bylang", keep=",dataset") + ") GROUP BY dataset")
 def m11(spark, sf_dir):
     """Per-dataset metric table (dataset = document language)."""
-    from glosspark.session import table
-    langs = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("dataset"))
-    p = FX.preds(spark, sf_dir).join(langs, "doc_id").select("id", "dataset", "prediction", "reference")
+    p = FX.preds(spark, sf_dir, extra=("lang",)).select("id", F.col("lang").alias("dataset"), "prediction", "reference")
     return MC.metric_means(MP.score_pairs(p).drop("prediction", "reference"), ["dataset"])
 
 

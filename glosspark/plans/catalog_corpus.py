@@ -626,14 +626,13 @@ def _m13_sql() -> str:
 @register("m13_relative_gain", _m13_sql())
 def m13(spark, sf_dir):
     """BLEU-4 of a model vs a baseline per dataset; relative gain in percent (self-join)."""
-    langs = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("dataset"))
-    p = FX.preds(spark, sf_dir).select("id", "doc_id", "reference", "prediction")
+    p = FX.preds(spark, sf_dir, extra=("lang",)).select("id", F.col("lang").alias("dataset"), "reference", "prediction")
     words = F.split(F.regexp_replace(F.col("reference"), r"(?U)^\s+|\s+\z", ""), r"(?U)\s+")
     base = p.withColumn("prediction", F.when(F.trim("reference") == "", F.lit(""))
                         .otherwise(F.array_join(F.filter(words, lambda t, i: i % 2 == 0), " ")))
 
     def mean_b4(df, name):
-        s = MP.score_pairs(df).join(langs, "doc_id")   # per-pair values rounded as in the pair report
+        s = MP.score_pairs(df)   # per-pair values rounded as in the pair report
         return s.groupBy("dataset").agg(F.avg("bleu_4").alias(name))
 
     a, b = mean_b4(p, "a"), mean_b4(base, "b")

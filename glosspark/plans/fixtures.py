@@ -47,18 +47,20 @@ def derive_gloss(line) -> F.Column:
     return F.array_join(F.transform(toks, mark), " ")
 
 
-def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = ensure_parallelism(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
-    return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+def doc_lines(spark: SparkSession, sf_dir: str, extra: tuple = ()) -> DataFrame:
+    """Every line of every document; `extra` document columns (e.g. lang) ride along,
+    so per-dataset reports need no join back to the documents table."""
+    docs = ensure_parallelism(table(spark, sf_dir, "documents").select("doc_id", "text", *extra), "doc_id")
+    return docs.select("doc_id", *extra, F.posexplode(F.split("text", "\n")).alias("pos", "line"))
 
 
-def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = doc_lines(spark, sf_dir)
+def pairs(spark: SparkSession, sf_dir: str, extra: tuple = ()) -> DataFrame:
+    lines = doc_lines(spark, sf_dir, extra)
     return lines.select(
         F.concat_ws("_", F.col("doc_id").cast("string"), F.col("pos").cast("string")).alias("id"),
         "doc_id", "pos",
         derive_gloss(F.col("line")).alias("gloss"),
-        F.col("line").alias("translation"))
+        F.col("line").alias("translation"), *extra)
 
 
 def dialog(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,11 +93,11 @@ def derive_gloss_hypothesis(gloss) -> F.Column:
     return join_words(F.transform(kept, lambda t, i: F.when(i % 4 == 3, F.lower(t)).otherwise(t)))
 
 
-def preds(spark: SparkSession, sf_dir: str) -> DataFrame:
+def preds(spark: SparkSession, sf_dir: str, extra: tuple = ()) -> DataFrame:
     """Prediction/reference pairs for the metric operators (one per document line)."""
-    p = pairs(spark, sf_dir)
+    p = pairs(spark, sf_dir, extra)
     return p.select(
-        "id", "doc_id", "pos",
+        "id", "doc_id", "pos", *extra,
         F.col("translation").alias("reference"),
         derive_hypothesis(F.col("translation"), F.col("doc_id"), F.col("pos")).alias("prediction"),
         F.col("gloss").alias("ref_gloss"),
