@@ -158,16 +158,20 @@ def process_gloss_target(c) -> Column:
 
 # Post-processing of generated text ---------------------------------
 def fix_titles(c) -> Column:
-    """T10: 'mr|mrs|ms <known surname>' -> the surname's title; tokens re-joined by one space."""
+    """T10: 'mr|mrs|ms <known surname>' -> the surname's title; tokens re-joined by one space.
+
+    Each token is zipped with its successor (null for the last), so the token list is
+    built once per row rather than looked up from inside the lambda."""
     toks = words(_str(c))
+    nxt = F.concat(F.slice(toks, 2, F.greatest(F.size(toks), F.lit(1))), F.array(F.lit(None).cast("string")))
     titles = F.create_map(*[F.lit(x) for kv in L.TITLE_BY_SURNAME.items() for x in kv])
 
-    def pick(w, i):
-        nxt = F.element_at(titles, F.lower(F.get(toks, i + 1)))
-        hit = F.lower(w).isin(*L.TITLES) & (i + 1 < F.size(toks)) & nxt.isNotNull()
-        return F.when(hit, nxt).otherwise(w)
+    def pick(w, n):
+        title = F.element_at(titles, F.lower(n))
+        hit = F.lower(w).isin(*L.TITLES) & n.isNotNull() & title.isNotNull()
+        return F.when(hit, title).otherwise(w)
 
-    return join_words(F.transform(toks, pick))
+    return join_words(F.zip_with(toks, nxt, pick))
 
 
 def insert_articles(c) -> Column:

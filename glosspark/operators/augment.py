@@ -57,18 +57,22 @@ def noise_copies(df: DataFrame, p_copy: float = 0.3, p_drop: float = 0.1, seed=L
     """A4: with p_copy add row `<id>_aug`; inside it, with p_drop and more than 3 words,
     one uniformly chosen word of the gloss is deleted (words re-joined by single spaces)."""
     key = F.col(id_col)
-    toks = words(F.col(gloss))
-    n = F.size(toks)
-    k = F.pmod(draw(seed, "a4-pick", key), F.greatest(n, F.lit(1)))
-    dropped = F.filter(toks, lambda t, i: i != k)
-    noisy = join_words(F.when(below(draw(seed, "a4-drop", key), p_drop) & (n > 3), dropped).otherwise(toks))
-    copy = below(draw(seed, "a4-copy", key), p_copy)
+    # the draws are materialised first: a lambda would otherwise re-hash per token
+    staged = df.select(key.alias("_id"), F.col(gloss).alias("_g"), F.col(text).alias("_tx"),
+                       words(F.col(gloss)).alias("_toks"),
+                       draw(seed, "a4-pick", key).alias("_pick"),
+                       below(draw(seed, "a4-drop", key), p_drop).alias("_drop"),
+                       below(draw(seed, "a4-copy", key), p_copy).alias("_copy"))
+    toks, n = F.col("_toks"), F.size("_toks")
+    k = F.pmod(F.col("_pick"), F.greatest(n, F.lit(1)))
+    dropped = F.when(k >= 0, F.filter(toks, lambda t, i: i != k))
+    noisy = join_words(F.when(F.col("_drop") & (n > 3), dropped).otherwise(toks))
     rows = F.filter(F.array(
-        F.struct(key.alias("id"), F.col(gloss).alias("gloss"), F.lit(True).alias("keep")),
-        F.struct(F.concat(key, F.lit("_aug")).alias("id"), noisy.alias("gloss"), copy.alias("keep"))),
+        F.struct(F.col("_id").alias("id"), F.col("_g").alias("gloss"), F.lit(True).alias("keep")),
+        F.struct(F.concat(F.col("_id"), F.lit("_aug")).alias("id"), noisy.alias("gloss"), F.col("_copy").alias("keep"))),
         lambda r: r["keep"])
-    return df.select(F.col(text).alias("translation"), F.explode(rows).alias("r")) \
-             .select("r.id", "r.gloss", "translation")
+    return staged.select(F.col("_tx").alias("translation"), F.explode(rows).alias("r")) \
+                 .select("r.id", "r.gloss", "translation")
 
 
 def paraphrase(text: Column) -> Column:
