@@ -32,8 +32,8 @@ from glosspark.llm.common import mix64, rolling, word_hashes
 
 WINDOW = 20
 BLOCK = 10
-SLICE = 8 << 20             # bytes of text a task handles at a time
-PLACES = 3_000_000          # per bucket, about
+SLICE = 4 << 20             # bytes of text a task handles at a time
+PLACES = 2_000_000          # per bucket, about
 
 PROBE, HIT, PLACE, COVERED = range(4)
 
@@ -55,18 +55,18 @@ def _probes(window: int, block: int, buckets: int):
     return run
 
 
-def _hits(block: int):
+def _hits(block: int, buckets: int):
     def run(group: pa.Table) -> pa.Table:
         did, tie, pos, h, _, _ = P.unblock(group.to_pylist(), np.uint32)
         order = np.argsort(h, kind="stable")
         new = np.concatenate(([True], h[order][1:] != h[order][:-1])) if len(h) else np.zeros(0, bool)
         at = np.flatnonzero(new)
         if not len(at):
-            return pa.Table.from_pylist([], schema=P.REPLY_ARROW)
+            return pa.Table.from_pylist([], schema=P.BLOCK_ARROW)
         anchors = np.add.reduceat((pos[order] % block == 0).astype(np.int64), at)
         size = np.diff(np.append(at, len(h)))
         hit = order[np.repeat((size > 1) & (anchors > 0), size)]
-        return pa.Table.from_pylist(P.replies(HIT, did[hit], tie[hit], pos[hit]), schema=P.REPLY_ARROW)
+        return pa.Table.from_pylist(P.replies(HIT, buckets, did[hit], tie[hit], pos[hit]), schema=P.BLOCK_ARROW)
     return run
 
 
@@ -101,14 +101,15 @@ def _windows(window: int, block: int, buckets: int):
     return run
 
 
-def _covered(group: pa.Table) -> pa.Table:
-    rows = group.to_pylist()
-    did, tie, pos, h, d, _ = P.unblock([r for r in rows if r["kind"] == PLACE], np.uint64, np.uint32)
-    late = P.not_first(h, d, did, tie, pos)
-    di, ti, po, _, _, _ = P.unblock([r for r in rows if r["kind"] == COVERED])
-    a, b, c = np.concatenate((did[late], di)), np.concatenate((tie[late], ti)), np.concatenate((pos[late], po))
-    a, b, c, n = P.runs(a, b, c)
-    return pa.Table.from_pylist(P.replies(COVERED, a, b, c, n), schema=P.REPLY_ARROW)
+def _covered(buckets: int):
+    def run(group: pa.Table) -> pa.Table:
+        rows = group.to_pylist()
+        did, tie, pos, h, d, _ = P.unblock([r for r in rows if r["kind"] == PLACE], np.uint64, np.uint32)
+        late = P.not_first(h, d, did, tie, pos)
+        di, ti, po, _, _, _ = P.unblock([r for r in rows if r["kind"] == COVERED])
+        found = P.runs(np.concatenate((did[late], di)), np.concatenate((tie[late], ti)), np.concatenate((pos[late], po)))
+        return pa.Table.from_pylist(P.replies(COVERED, buckets, *found), schema=P.BLOCK_ARROW)
+    return run
 
 
 OUT = T.StructType([T.StructField("id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()),
@@ -144,7 +145,7 @@ def remove_repeats(docs: DataFrame, id_col="doc_id", text_col="text", window: in
     buckets = P.bucket_count(size // 6, PLACES, spark)
     texts, keys = P.keyed(docs, id_col, text_col)
     hits = (texts.select("did", "tie", "text").mapInArrow(_probes(window, block, buckets), P.BLOCK_SCHEMA)
-            .groupBy("bucket").applyInArrow(_hits(block), P.REPLY_SCHEMA))
+            .groupBy("bucket").applyInArrow(_hits(block, buckets), P.BLOCK_SCHEMA))
     late = (P.with_answers(texts, hits, keys, "inner").mapInArrow(_windows(window, block, buckets), P.BLOCK_SCHEMA)
-            .groupBy("bucket").applyInArrow(_covered, P.REPLY_SCHEMA))
+            .groupBy("bucket").applyInArrow(_covered(buckets), P.BLOCK_SCHEMA))
     return P.with_answers(texts, late, keys, "left").mapInArrow(_remove(window), OUT)

@@ -85,7 +85,7 @@ class Powers:
 FIRST, SECOND = Powers(0x9E3779B97F4A7C15), Powers(0xC2B2AE3D27D4EB4F)
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
-WORD_CHUNK = 1 << 22
+WORD_CHUNK = 1 << 20
 
 
 def word_hashes(raw: np.ndarray, offsets: np.ndarray):

@@ -4,7 +4,8 @@ A place is (document, position) with one or two hashes. A task cuts its document
 slices of bounded size and sends, per slice and bucket of the hash, one row with its
 places delta-coded, at about six bytes a place instead of a row each. Spark shuffles
 the blocks by bucket; the number of buckets follows the size of the input, so a bucket
-stays a few million places. Answers go back as packed positions per document.
+stays a few million places. Answers go back the same way, in blocks by a hash of the document,
+and are merged there into one row per document.
 
 Documents are ordered by (did, tie): did is doc_id (a null last), tie a hash of the text
 where doc_ids repeat or are null, else 0. Rows equal in both are one document.
@@ -19,10 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glosspark.llm.common import mix64
+
 BLOCK_SCHEMA = "bucket int, kind int, ids binary, ties binary, per binary, pos binary, h binary, d binary, n binary"
 BLOCK_ARROW = pa.schema([("bucket", pa.int32()), ("kind", pa.int32())] + [(c, pa.binary()) for c in ("ids", "ties", "per", "pos", "h", "d", "n")])
-REPLY_SCHEMA = "did long, tie long, kind int, pos binary, n binary, h binary"
-REPLY_ARROW = pa.schema([("did", pa.int64()), ("tie", pa.int64()), ("kind", pa.int32()), ("pos", pa.binary()), ("n", pa.binary()), ("h", pa.binary())])
+ANSWER_SCHEMA = "did long, tie long, got array<struct<kind:int,pos:binary,n:binary,h:binary>>"
+ANSWER_ARROW = pa.schema([("did", pa.int64()), ("tie", pa.int64()), ("got", pa.list_(pa.struct(
+    [("kind", pa.int32()), ("pos", pa.binary()), ("n", pa.binary()), ("h", pa.binary())])))])
 LAST_ID = (1 << 63) - 1
 
 
@@ -129,18 +133,44 @@ def unblock(rows: list[dict], h_type=np.uint64, d_type=None):
     return cat(did, np.int64), cat(tie, np.int64), cat(pos, np.int64), cat(h, h_type), cat(d, d_type or np.uint64), cat(n, np.int64)
 
 
-def replies(kind: int, did, tie, pos, n=None, h=None) -> list[dict]:
-    """Rows of REPLY_SCHEMA: the positions of each document, ascending."""
+def replies(kind: int, groups: int, did, tie, pos, n=None, h=None) -> list[dict]:
+    """Rows of BLOCK_SCHEMA with answers, by a hash of the document."""
     if not len(did):
         return []
     order = np.lexsort((pos, tie, did))
     did, tie, pos = did[order], tie[order], pos[order]
     first = np.concatenate(([True], (did[1:] != did[:-1]) | (tie[1:] != tie[:-1])))
-    at = np.append(np.flatnonzero(first), len(did))
-    g = gaps(pos, first)
-    return [{"did": int(did[a]), "tie": int(tie[a]), "kind": kind, "pos": squeeze(g[a:b]),
-             "n": b"" if n is None else squeeze(n[order[a:b]]), "h": b"" if h is None else h[order[a:b]].tobytes()}
-            for a, b in zip(at[:-1], at[1:])]
+    at = np.flatnonzero(first)
+    doc = np.cumsum(first) - 1
+    route = mix64(did[at].view(np.uint64) ^ mix64(tie[at].view(np.uint64)))[doc]
+    return blocks(kind, groups, did[at], tie[at], doc, pos, np.zeros(len(did), np.uint8) if h is None else h[order],
+                  n=None if n is None else n[order], route=route)
+
+
+def _merge(group: pa.Table) -> pa.Table:
+    """One row per document with its answers by kind."""
+    found: dict = {}
+    for r in group.to_pylist():
+        per = expand(r["per"])
+        ids = np.frombuffer(r["ids"], np.int64).tolist()
+        ties = np.frombuffer(r["ties"], np.int64).tolist() if r["ties"] else [0] * len(ids)
+        pos, cut = ungap(expand(r["pos"]), per), np.cumsum(per)[:-1]
+        n = np.split(expand(r["n"]), cut) if r["n"] else None
+        width = len(r["h"]) // max(1, len(pos))
+        h = np.split(np.frombuffer(r["h"], np.dtype(f"V{width}")), cut) if width > 1 else None
+        for i, p in enumerate(np.split(pos, cut)):
+            found.setdefault((ids[i], ties[i]), {}).setdefault(r["kind"], []).append((p, None if n is None else n[i], None if h is None else h[i]))
+    out = []
+    for (did, tie), kinds in found.items():
+        got = []
+        for kind, parts in kinds.items():
+            pos = np.concatenate([p for p, _, _ in parts])
+            order = np.argsort(pos, kind="stable")
+            got.append({"kind": kind, "pos": squeeze(np.diff(pos[order], prepend=0)),
+                        "n": squeeze(np.concatenate([x for _, x, _ in parts])[order]) if parts[0][1] is not None else b"",
+                        "h": np.concatenate([x for _, _, x in parts])[order].tobytes() if parts[0][2] is not None else b""})
+        out.append({"did": did, "tie": tie, "got": got})
+    return pa.Table.from_pylist(out, schema=ANSWER_ARROW)
 
 
 def runs(did, tie, pos):
@@ -166,7 +196,7 @@ def table(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
 def with_answers(texts: DataFrame, replied: DataFrame, keys: list[str], how: str) -> DataFrame:
     """(id, did, tie, text, got): the texts with the list of their answers. The answers are the
     hashed side, so the texts are not sorted."""
-    got = replied.groupBy(*keys).agg(F.collect_list(F.struct("kind", "pos", "n", "h")).alias("got"))
+    got = replied.groupBy("bucket").applyInArrow(_merge, ANSWER_SCHEMA).select(*keys, "got")
     return texts.join(got.hint("shuffle_hash"), keys, how).select("id", "did", "tie", "text", "got")
 
 

@@ -112,24 +112,26 @@ def _anchors(length: int, gram: int, buckets: int):
     return run
 
 
-def _settle(group: pa.Table) -> pa.Table:
-    rows = group.to_pylist()
-    did, tie, pos, h, d, n = P.unblock([r for r in rows if r["kind"] == PIECE], np.uint64, np.uint64)
-    late = P.not_first(h, d, did, tie, pos)
-    out = P.replies(COVERED, did[late], tie[late], pos[late], n[late])
-    di, ti, po, _, _, no = P.unblock([r for r in rows if r["kind"] == COVERED])
-    out += P.replies(COVERED, di, ti, po, no)
-    first = np.flatnonzero(~late)
-    order = first[np.lexsort((d[first], h[first]))]
-    if len(order):
-        # how many different contents each anchor has (equal rows of one document count once)
-        newh = np.concatenate(([True], h[order][1:] != h[order][:-1]))
-        newd = newh | np.concatenate(([True], d[order][1:] != d[order][:-1]))
-        at = np.flatnonzero(newh)
-        kinds = np.repeat(np.add.reduceat(newd.astype(np.int64), at), np.diff(np.append(at, len(order))))
-        for kind, pick in ((ASK, order[(kinds > 1) & (kinds <= HOT) & newd]), (ASK_HOT, order[(kinds > HOT) & newd])):
-            out += P.replies(kind, did[pick], tie[pick], pos[pick], n[pick], h[pick])
-    return pa.Table.from_pylist(out, schema=P.REPLY_ARROW)
+def _settle(buckets: int):
+    def run(group: pa.Table) -> pa.Table:
+        rows = group.to_pylist()
+        did, tie, pos, h, d, n = P.unblock([r for r in rows if r["kind"] == PIECE], np.uint64, np.uint64)
+        late = P.not_first(h, d, did, tie, pos)
+        out = P.replies(COVERED, buckets, did[late], tie[late], pos[late], n[late])
+        di, ti, po, _, _, no = P.unblock([r for r in rows if r["kind"] == COVERED])
+        out += P.replies(COVERED, buckets, di, ti, po, no)
+        first = np.flatnonzero(~late)
+        order = first[np.lexsort((d[first], h[first]))]
+        if len(order):
+            # how many different contents each anchor has (equal rows of one document count once)
+            newh = np.concatenate(([True], h[order][1:] != h[order][:-1]))
+            newd = newh | np.concatenate(([True], d[order][1:] != d[order][:-1]))
+            at = np.flatnonzero(newh)
+            kinds = np.repeat(np.add.reduceat(newd.astype(np.int64), at), np.diff(np.append(at, len(order))))
+            for kind, pick in ((ASK, order[(kinds > 1) & (kinds <= HOT) & newd]), (ASK_HOT, order[(kinds > HOT) & newd])):
+                out += P.replies(kind, buckets, did[pick], tie[pick], pos[pick], n[pick], h[pick])
+        return pa.Table.from_pylist(out, schema=P.BLOCK_ARROW)
+    return run
 
 
 def _fetch(length: int, buckets: int):
@@ -215,15 +217,15 @@ def has_previous_factor(order: np.ndarray, same: np.ndarray, position: np.ndarra
     return out
 
 
-def _suffixes(length: int):
+def _suffixes(length: int, buckets: int):
     def run(group: pa.Table) -> pa.Table:
         rows = group.to_pylist()
         di, ti, po, _, _, no = P.unblock([r for r in rows if r["kind"] == COVERED])
-        out = P.replies(COVERED, di, ti, po, no)
+        out = P.replies(COVERED, buckets, di, ti, po, no)
 
         did, tie, pos, h, d, _ = P.unblock([r for r in rows if r["kind"] == PLACE], np.uint64, np.uint64)
         late = P.not_first(h, d, did, tie, pos)
-        out += P.replies(COVERED, *P.runs(did[late], tie[late], pos[late]))
+        out += P.replies(COVERED, buckets, *P.runs(did[late], tie[late], pos[late]))
 
         texts = [r for r in rows if r["kind"] == TEXT]
         raw = np.frombuffer(b"".join(r["d"] for r in texts), np.uint8)
@@ -250,8 +252,8 @@ def _suffixes(length: int):
             new[1:] = (a[x][1:] != a[x][:-1]) | (b[x][1:] != b[x][:-1]) | (c[x][1:] != c[x][:-1])
             place[x] = np.cumsum(new)
             late = has_previous_factor(*suffix_classes(part, starts, length), place)
-            out += P.replies(COVERED, *P.runs(a[late], b[late], c[late]))
-        return pa.Table.from_pylist(out, schema=P.REPLY_ARROW)
+            out += P.replies(COVERED, buckets, *P.runs(a[late], b[late], c[late]))
+        return pa.Table.from_pylist(out, schema=P.BLOCK_ARROW)
     return run
 
 
@@ -292,7 +294,7 @@ def remove_repeats(docs: DataFrame, id_col="doc_id", text_col="text", length: in
     buckets = P.bucket_count(2 * size // (length - gram + 2), PIECES, spark)
     texts, keys = P.keyed(docs, id_col, text_col)
     first = (texts.select("did", "tie", "text").mapInArrow(_anchors(length, gram, buckets), P.BLOCK_SCHEMA)
-             .groupBy("bucket").applyInArrow(_settle, P.REPLY_SCHEMA))
+             .groupBy("bucket").applyInArrow(_settle(buckets), P.BLOCK_SCHEMA))
     late = (P.with_answers(texts, first, keys, "inner").mapInArrow(_fetch(length, 4 * buckets), P.BLOCK_SCHEMA)
-            .groupBy("bucket").applyInArrow(_suffixes(length), P.REPLY_SCHEMA))
+            .groupBy("bucket").applyInArrow(_suffixes(length, buckets), P.BLOCK_SCHEMA))
     return P.with_answers(texts, late, keys, "left").mapInArrow(_remove(length), OUT)
