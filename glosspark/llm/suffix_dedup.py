@@ -36,7 +36,7 @@ from glosspark.llm.common import FIRST, SECOND
 
 LENGTH = 100
 GRAM = 40
-SLICE = 4 << 20             # bytes of text a task handles at a time
+SLICE = 1 << 20             # bytes of text a task handles at a time
 PIECES = 3_000_000          # per bucket, about
 HOT = 512                   # different pieces of one anchor
 SUFFIX_BYTES = 4 << 20      # ordered at a time
