@@ -3,17 +3,19 @@
 A document's set are its distinct word shingles. Equal sets are one class, so groups of
 copies never reach the join. Every class gets `TREES * DEPTH` minwise tokens; a tree starts
 from the first `ROOT` tokens of its own path (classes with the same tokens share a node) and
-branches a node on the next token as long as it holds more than `LIMIT` classes. A pair of
-similarity s meets in a node of depth d with probability s^d per tree, and all trees are
-independent: at the least similarity and depth 3, 16 trees miss one pair in a million.
-
-Candidates are confirmed on the full sets, in rounds that follow the components found so far:
-first each class with the leader (smallest class) it shares most nodes with, which joins up
-large groups with one comparison per member; then, where a node still holds several
-components, every pair of a small node across components, and each member with the leader of
-a large one; nodes that stay large go on branching with the tokens of the other trees until
-they are small or of one component. Only links inside a component already found are left
-out, so components are those of the confirmed links.
+branches a node on the next token as long as it is not small. A pair of similarity s meets
+in a node of depth d with probability s^d per tree, and all trees are independent: at the
+least similarity and depth 3, 16 trees miss one pair in a million.
+
+Candidates are confirmed on the full sets, in rounds that follow the components found so far.
+First each class is compared with one leader (random per node), which joins up large groups
+with one comparison per member. Then, level by level, nodes that hold several components
+are looked at: one with at most `FEW` pairs across components per member is small and compares
+them all; a larger one compares its members with a new leader and branches on. Past `DEPTH`
+the tokens of the other trees follow. Only pairs inside a component already found are left
+out, so the components are those of the confirmed links. Before the full sets are fetched,
+pairs whose `TREES * DEPTH` tokens agree so seldom that a link would have to be `SLACK`
+standard deviations off are dropped (a link at the least similarity: one in 4000).
 
 Defined cases: without words (or text) a document's set is empty and linked with nothing;
 fewer words than a shingle are one shingle; rows with equal doc_id are one document (with
@@ -38,7 +40,8 @@ PERCENT = 85                # least similarity: 100 * intersection >= PERCENT *
 TREES = 16
 DEPTH = 8
 ROOT = 3
-LIMIT = 32
+FEW = 64
+SLACK = 3.5
 SLICE = 4 << 20
 _NO_ID = 1 << 62            # classes without a doc_id are numbered from here
 
@@ -115,6 +118,19 @@ def _confirm(percent: int):
     return run
 
 
+def _likely(percent: int):
+    """Keeps pairs whose tokens agree often enough for a link."""
+    least, tokens = percent / 100, TREES * DEPTH
+    need = tokens * least - SLACK * np.sqrt(tokens * least * (1 - least))
+
+    def run(batches):
+        for batch in batches:
+            ok = [np.count_nonzero(np.frombuffer(x.as_buffer(), np.uint32) == np.frombuffer(y.as_buffer(), np.uint32)) >= need
+                  for x, y in zip(batch.column("x"), batch.column("y"))]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+    return run
+
+
 class _Join:
     """The classes of one corpus, their trees, and the links confirmed so far."""
 
@@ -135,11 +151,12 @@ class _Join:
         return F.lit(100) * F.least(a, b) >= F.lit(self.percent) * F.greatest(a, b)
 
     def level(self, rows: DataFrame, depth: int) -> DataFrame:
-        """rows (tree, node, n, path, next) -> those in a node of two or more, with its key, size and leader."""
+        """rows (tree, node, n, path) -> those in a node of two or more, with its key and leader."""
         key = F.xxhash64("tree", F.substring("path", 1, 4 * depth))
         keyed = rows.withColumn("key", key)
-        of = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("node", "n")).alias("leader")).filter("size > 1")
-        return checkpointed(keyed.join(of, "key").withColumn("depth", F.lit(depth)))
+        of = (keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct(F.xxhash64("key", "node").alias("r"), "node", "n")).alias("leader"))
+              .filter("size > 1"))
+        return checkpointed(keyed.join(of, "key"))
 
     def load_sets(self, nodes: DataFrame) -> None:
         """Full sets of all classes that share a node with another."""
@@ -150,6 +167,9 @@ class _Join:
 
     def confirm(self, pairs: DataFrame) -> None:
         """Adds the links among `pairs` (a, b) and the components they make."""
+        tokens = self.classes.select("node", F.concat(*[F.element_at("paths", t + 1) for t in range(TREES)]).alias("tokens"))
+        pairs = (pairs.join(tokens.withColumnsRenamed({"node": "a", "tokens": "x"}), "a").join(tokens.withColumnsRenamed({"node": "b", "tokens": "y"}), "b")
+                 .select("a", "b", "x", "y").mapInArrow(_likely(self.percent), "a long, b long").distinct())
         left = self.sets.select(F.col("node").alias("a"), F.col("items").alias("x"))
         right = self.sets.select(F.col("node").alias("b"), F.col("items").alias("y"))
         found = checkpointed(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
@@ -157,72 +177,60 @@ class _Join:
         self.links = found if self.links is None else self.links.unionByName(found)
         self.labels = components(self.links)
 
-    def labelled(self, rows: DataFrame) -> DataFrame:
-        """rows in nodes that still hold several components, with their label."""
-        got = rows.drop("label").join(self.labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        of = got.groupBy("depth", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("depth", "key")
-        return got.join(of, ["depth", "key"])
+    def mixed(self, rows: DataFrame) -> DataFrame:
+        """rows in nodes that hold several components, with their label, the label of the node's
+        largest component, and whether the pairs across components are few."""
+        got = rows.join(self.labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        per = got.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
+        of = (per.groupBy("key").agg(F.max(F.struct("c", "label")).alias("m"), F.sum("c").cast("double").alias("all"), F.sum(F.pow("c", F.lit(2))).alias("same"),
+                                     F.count(F.lit(1)).alias("labels"))
+              .filter("labels > 1").select("key", F.col("m.label").alias("major"), ((F.col("all") * F.col("all") - F.col("same")) / 2 <= FEW * F.col("all")).alias("few")))
+        return checkpointed(got.join(of, "key"))
 
     def across(self, rows: DataFrame) -> DataFrame:
-        """Candidate pairs of labelled rows whose components differ."""
+        """Candidate pairs across the components of mixed nodes: all of a small one (its minor
+        components against every member), each member with the leader in a larger one."""
         one = F.struct("node", "n", "label")
-        small = rows.filter(F.col("size") <= LIMIT).groupBy("depth", "key").agg(F.sort_array(F.collect_list(one)).alias("m"))
-        small = small.select(F.explode("m").alias("p"), "m").select("p", F.explode("m").alias("q")).filter("p.node < q.node")
-        lead = rows.filter("node = leader.node").select("depth", "key", one.alias("p"))
-        large = rows.filter(F.col("size") > LIMIT).select("depth", "key", one.alias("q")).join(lead, ["depth", "key"]).filter("p.node < q.node")
-        pairs = small.select("p", "q").unionByName(large.select("p", "q")).filter("p.label <> q.label").filter(self.similar_size("p.n", "q.n"))
-        return checkpointed(pairs.select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct())
+        few = rows.filter("few")
+        minor = few.filter("label <> major").select("key", one.alias("p"))
+        small = (minor.join(few.select("key", "major", one.alias("q")), "key").filter("p.label <> q.label")
+                 .filter("q.label = major or p.node < q.node"))
+        large = rows.filter("not few").select(F.col("leader").alias("p"), one.alias("q")).filter("p.node <> q.node")
+        pairs = small.select("p.node", "p.n", F.col("q.node").alias("other"), F.col("q.n").alias("m")).unionByName(
+            large.select("p.node", "p.n", F.col("q.node").alias("other"), F.col("q.n").alias("m"))).filter(self.similar_size("n", "m"))
+        return checkpointed(pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct())
 
 
 def _links(texts: DataFrame, shingle: int, percent: int) -> _Join:
     j = _Join(texts, shingle, percent)
-    rotated = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(
-        t.alias("tree"), F.element_at("paths", t + 1).alias("path")))
-    rows = j.classes.select("node", "n", F.explode(rotated).alias("r")).select("node", "n", "r.tree", "r.path")
-    levels = []
-    depth = ROOT
-    while True:
-        at = j.level(rows, depth)
-        levels.append(at)
-        rows = at.filter(F.col("size") > LIMIT).select("node", "n", "tree", "path")
-        if depth == DEPTH or rows.limit(1).count() == 0:
-            break
-        depth += 1
-    nodes = levels[0]
-    for more in levels[1:]:
-        nodes = nodes.unionByName(more)
-    if nodes.limit(1).count() == 0:
+    trees = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(t.alias("tree"), F.element_at("paths", t + 1).alias("path")))
+    rows = j.classes.select("node", "n", F.explode(trees).alias("r")).select("node", "n", "r.tree", "r.path")
+    at, depth = j.level(rows, ROOT), ROOT
+    if at.limit(1).count() == 0:
         return j
-    j.load_sets(levels[0])
-
-    # each class with the leader it meets most often
-    met = (nodes.filter("node <> leader.node").filter(j.similar_size("n", "leader.n"))
-           .groupBy(F.col("node").alias("b"), F.col("leader.node").alias("a")).count())
-    best = met.groupBy("b").agg(F.max(F.struct("count", (-F.col("a")).alias("first"))).alias("m"))
-    j.confirm(checkpointed(best.select((-F.col("m.first")).alias("a"), "b")))
-
-    # then across the components of a node: small nodes whole, large ones with their leader
-    last = (F.col("size") <= LIMIT) | (F.col("depth") == depth)
-    j.confirm(j.across(j.labelled(nodes.filter(last))))
-
-    # nodes that are still large and mixed branch on, with the tokens of the other trees
-    rest = j.labelled(levels[-1].filter(F.col("size") > LIMIT))
-    while depth < TREES * DEPTH:
-        rest = checkpointed(rest.select("node", "n", "tree", "path"))
-        if rest.limit(1).count() == 0:
-            break
-        depth += 1
-        if (depth - 1) % DEPTH == 0:
-            turn = (depth - 1) // DEPTH
-            more = j.classes.select("node", F.explode(rotated).alias("r")).select(
-                "node", ((F.col("r.tree") - turn + TREES) % TREES).alias("tree"), F.col("r.path").alias("more"))
-            rest = rest.join(more, ["node", "tree"]).select("node", "n", "tree", F.concat("path", "more").alias("path"))
-        at = j.labelled(j.level(rest, depth))
+    j.load_sets(at)
+
+    # each class with one leader, the one it meets most often
+    met = at.filter("node <> leader.node").filter(j.similar_size("n", "leader.n")).groupBy("node", F.col("leader.node").alias("other")).count()
+    best = met.groupBy("node").agg(F.max(F.struct("count", "other")).alias("m"))
+    j.confirm(checkpointed(best.select(F.least("node", "m.other").alias("a"), F.greatest("node", "m.other").alias("b")).distinct()))
+
+    while True:
+        at = j.mixed(at)
         pairs = j.across(at)
         if pairs.limit(1).count():
             j.confirm(pairs)
-        rest = j.labelled(at.filter(F.col("size") > LIMIT))
-    return j
+        large = at.filter("not few").select("key", "node", "n", "tree", "path", "leader", "size")
+        if depth == TREES * DEPTH or large.limit(1).count() == 0:
+            return j
+        rest = j.mixed(large).select("node", "n", "tree", "path")
+        if depth % DEPTH == 0:      # the tokens of the next tree follow
+            turn = depth // DEPTH
+            more = j.classes.select("node", F.explode(trees).alias("r")).select(
+                "node", ((F.col("r.tree") - turn + TREES) % TREES).alias("tree"), F.col("r.path").alias("more"))
+            rest = rest.join(more, ["node", "tree"]).select("node", "n", "tree", F.concat("path", "more").alias("path"))
+        depth += 1
+        at = j.level(rest, depth)
 
 
 def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
