@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,9 +20,18 @@ def documents(spark, sf_dir: str, *cols: str) -> DataFrame:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Write `df` once to the shared checkpoint folder and go on from there."""
-    from glosspark.session import cut_lineage
-    return cut_lineage(df)
+    """Write `df` once as Parquet to the shared checkpoint folder and go on from there.
+
+    Unlike checkpoint(), which hands on the size estimate of its plan, a table read back has its
+    real size: in a loop of joins the estimates multiply until the number itself fills the
+    driver. The table is deleted when the application ends."""
+    from glosspark.session import checkpoint_dir
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/glosspark-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def word_count(text: Column) -> Column:
