@@ -1,3 +1,53 @@
 """DuckDB SQL for the queries that SQL can express."""
 
-SQL: dict[str, str] = {}
+_BLANKS = r"[^\x20\x09-\x0D]+"
+
+SQL: dict[str, str] = {
+    "op5_exact_top_k": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 20""",
+    "op7_benchmark_decontamination": r"""
+WITH f AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                  '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                  '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM benchmark),
+p AS (SELECT DISTINCT item_id, m, array_to_string(w[i:i + m - 1], ' ') AS s
+      FROM (SELECT item_id, w, least(10, len(w)) AS m, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+l AS (SELECT DISTINCT m FROM p),
+d AS (SELECT doc_id, m, i, array_to_string(w[i:i + m - 1], ' ') AS s
+      FROM (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM f, l WHERE len(w) >= m)),
+h AS (SELECT d.doc_id, d.m, d.i, p.item_id FROM d JOIN p ON d.m = p.m AND d.s = p.s),
+n AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + m)) AS k FROM h) GROUP BY 1),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS xs FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS x FROM h) GROUP BY 1)
+SELECT f.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(xs, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM f LEFT JOIN n ON f.doc_id = n.doc_id LEFT JOIN t ON f.doc_id = t.doc_id""",
+    "op9_block_anchor_dedup": rf"""
+WITH f AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_BLANKS}') AS w FROM documents),
+s AS (SELECT doc_id, i, row_number() OVER (PARTITION BY array_to_string(w[i:i + 19], ' ') ORDER BY doc_id, i) AS k
+      FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM f WHERE len(w) >= 20)),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS i FROM s WHERE k > 1),
+u AS (SELECT doc_id, w[i] AS x, i FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM f)),
+k AS (SELECT u.doc_id, string_agg(x, ' ' ORDER BY u.i) AS kept FROM u ANTI JOIN g ON u.doc_id = g.doc_id AND u.i = g.i GROUP BY 1),
+c AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1)
+SELECT f.doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM f LEFT JOIN k ON f.doc_id = k.doc_id LEFT JOIN c ON f.doc_id = c.doc_id""",
+    "op10_mix_sources": rf"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_BLANKS}'))::BIGINT AS size,
+                  ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, chr(0)) || ':' || md5(coalesce(text, ''))), 1, 15))::BIGINT AS key FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rk FROM d GROUP BY source),
+w AS (SELECT *, CASE (rk - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w, 2.0::DOUBLE * source_size AS cap,
+             (sum(source_size) OVER ())::DOUBLE AS tot FROM s),
+l AS (SELECT *, (1.5::DOUBLE * tot - coalesce(sum(cap) OVER (ORDER BY cap / w, rk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+              / sum(w) OVER (ORDER BY cap / w, rk ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lev FROM w),
+t AS (SELECT source, source_size, least(cap, max(lev) OVER () * w) AS target FROM l),
+u AS (SELECT d.*, source_size, target, floor(target)::BIGINT AS b, (sum(size) OVER (PARTITION BY d.source ORDER BY key))::BIGINT AS upto,
+             (sum(size) OVER (PARTITION BY d.source, key))::BIGINT AS tied FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, source, size, source_size, target, CASE WHEN source_size = 0 THEN 0 ELSE (b // source_size) * size +
+       CASE WHEN upto <= b % source_size THEN size WHEN upto - tied < b % source_size THEN size * (b % source_size - (upto - tied)) // tied ELSE 0 END END::BIGINT AS taken
+FROM u""",
+}
