@@ -133,7 +133,7 @@ def _quota_side(group: DataFrame, thresholds: list[int], base: int, side_col: st
             if len(pdf) == 0:
                 continue
             if g is None:
-                g = offsets.get(int(pdf["_pid"].iloc[0]), 0)
+                g = offsets[int(pdf["_pid"].iloc[0])]    # a partition the count did not see must fail, not restart at 0
             out = pdf[names].copy()
             out[side_col] = [base + bisect.bisect_right(ths, i) for i in range(g, g + len(pdf))]
             g += len(pdf)

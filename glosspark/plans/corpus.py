@@ -20,9 +20,14 @@ def length_band(df: DataFrame, cols=("gloss", "text"), lo: int = BAND_MIN, hi: i
     return df.filter(cond)
 
 
+def as_strings(df: DataFrame, cols=("gloss", "translation")) -> DataFrame:
+    """rows with both sides, cast to string."""
+    return df.dropna(subset=list(cols)).withColumns({c: F.col(c).cast("string") for c in cols})
+
+
 def prepared_t2g(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C9 preprocessing: drop nulls (F1), keep originals (F7), T9a on text, T9b on gloss, band."""
-    p = FX.pairs(spark, sf_dir).dropna(subset=["gloss", "translation"])
+    p = as_strings(FX.pairs(spark, sf_dir))
     out = p.select("id", "doc_id", "pos",
                    F.col("gloss").alias("original_gloss"), F.col("translation").alias("original_text"),
                    N.process_gloss_target(F.col("gloss")).alias("gloss"),
@@ -32,7 +37,7 @@ def prepared_t2g(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def prepared_g2t(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C4 preprocessing: gloss v2 normaliser, target-text normaliser, band."""
-    p = FX.pairs(spark, sf_dir).dropna(subset=["gloss", "translation"])
+    p = as_strings(FX.pairs(spark, sf_dir))
     out = p.select("id", "doc_id", "pos",
                    F.col("gloss").alias("original_gloss"), F.col("translation").alias("original_text"),
                    N.process_gloss_v2(F.col("gloss")).alias("gloss"),

@@ -25,6 +25,8 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     The file's splits are read in offset order, so numbering rows in partition
     order gives file order; offsets come from per-partition counts (no single-task window)."""
     df = spark.read.text(path)
+    if len(df.inputFiles()) > 1:    # several files are packed by size, so their order is not the line order
+        raise ValueError(f"read one file at a time: {path} holds several")
     return with_ordinal(df).select(F.col("ord").cast("bigint"), F.col("value"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from glosspark.functions.text import strip
 from glosspark.operators.joins import join_on_id
+from glosspark.session import path_exists
 from glosspark.sources.lines import parse_pairs, read_lines
 
 PIPE_SPLITS = ("train", "dev", "test")
@@ -27,7 +28,7 @@ def parse_pipe_split(lines: DataFrame, split: str) -> DataFrame:
 
 def load_pipe_splits(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     """train/dev/test files, each numbered on its own; absent files are skipped."""
-    parts = [parse_pipe_split(read_lines(spark, p), s) for s, p in paths.items() if os.path.exists(p)]
+    parts = [parse_pipe_split(read_lines(spark, p), s) for s, p in paths.items() if path_exists(spark, p)]
     if not parts:
         return spark.createDataFrame([], "id string, gloss string, translation string, split string")
     out = parts[0]
@@ -67,10 +68,10 @@ def load_dataset(spark: SparkSession, dataset: str, **paths) -> DataFrame:
     if dataset == "aslg":
         gp = paths.get("gloss_path", "data/aslg_pc12_glosses.txt")
         tp = paths.get("text_path", "data/aslg_pc12_text.txt")
-        if os.path.exists(gp) and os.path.exists(tp):
+        if path_exists(spark, gp) and path_exists(spark, tp):
             return load_parallel(spark, gp, tp, fmt="aslg", dataset="aslg")
         cp = paths.get("combined_path", "data/aslg_pc12_combined.txt")
-        if os.path.exists(cp):
+        if path_exists(spark, cp):
             return parse_combined(read_lines(spark, cp))
         raise FileNotFoundError("ASLG dataset files not found")
     raise ValueError(f"Unsupported dataset type: {dataset}")

@@ -12,4 +12,4 @@ def write_splits(df: DataFrame, path: str, split_col: str = "split", mode: str =
 
 def save_metrics(metrics: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Metric rows (one per split / dataset / task) as JSON lines."""
-    metrics.coalesce(1).write.mode(mode).json(path)
+    metrics.write.mode(mode).json(path)

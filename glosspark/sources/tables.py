@@ -10,16 +10,17 @@ def named_split(df: DataFrame, preferred: str = "train", split_col: str = "split
                 order: list[str] | None = None) -> DataFrame:
     """Rows of split `preferred` if that split exists, else of the first split.
 
-    Only the distinct split names (a handful) reach the driver; with a table
-    partitioned by split, the filter prunes partitions at the scan."""
+    Existence is probed with one row, the first name found with a minimum; with a table
+    partitioned by split, the filters prune partitions at the scan."""
     if split_col not in df.columns:
         return df
-    names = [r[0] for r in df.select(split_col).distinct().collect()]
-    if preferred in names:
-        pick = preferred
-    else:
-        ranked = [n for n in (order or []) if n in names] or sorted(n for n in names if n is not None)
-        pick = ranked[0]
+
+    def there(name: str) -> bool:
+        return df.filter(F.col(split_col) == name).limit(1).count() > 0
+
+    pick = next((n for n in [preferred, *(order or [])] if there(n)), None)
+    if pick is None:
+        pick = df.agg(F.min(split_col)).first()[0]
     return df.filter(F.col(split_col) == pick)
 
 

@@ -8,6 +8,7 @@ the cluster's shared checkpoint folder, so a restarted query resumes exactly.
 
 from __future__ import annotations
 
+import hashlib
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,8 +44,10 @@ def stream_prepared(spark: SparkSession, path: str, max_files_per_trigger: int =
 
 
 def start_to_parquet(df: DataFrame, out_path: str, name: str = "prepared", available_now: bool = True):
-    """Append the prepared stream to parquet; checkpoint in the shared checkpoint folder."""
-    ckpt = os.path.join(checkpoint_dir(df.sparkSession), "streams", name)
+    """Append the prepared stream to parquet; checkpoint in the shared checkpoint folder, one per
+    name and output, so that two streams never share offsets."""
+    key = hashlib.sha256(out_path.encode()).hexdigest()[:16]
+    ckpt = os.path.join(checkpoint_dir(df.sparkSession), "streams", f"{name}-{key}")
     w = df.writeStream.format("parquet").option("path", out_path).option("checkpointLocation", ckpt) \
         .outputMode("append")
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")

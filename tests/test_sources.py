@@ -38,3 +38,23 @@ def test_aslg_line_ids_and_combined(spark, tmp_path):
         load_dataset(spark, "aslg", gloss_path="/nope", text_path="/nope", combined_path="/nope")
     with pytest.raises(ValueError):
         load_dataset(spark, "other")
+
+
+def test_paths_with_a_scheme_load_the_same(spark, tmp_path):
+    from glosspark.sources.loaders import load_pipe_splits
+    paths = {}
+    for s in ("train", "dev"):
+        (tmp_path / s).write_text("A B|a b|x\nC|c|y\n", encoding="utf-8")
+        paths[s] = str(tmp_path / s)
+    paths["test"] = str(tmp_path / "absent")
+    assert load_pipe_splits(spark, paths).count() == 4
+    assert load_pipe_splits(spark, {k: f"file://{v}" for k, v in paths.items()}).count() == 4
+
+
+def test_a_folder_of_files_is_refused(spark, tmp_path):
+    import pytest
+    from glosspark.sources.lines import read_lines
+    for n in "ab":
+        (tmp_path / n).write_text("x\n")
+    with pytest.raises(ValueError):
+        read_lines(spark, str(tmp_path))

@@ -42,3 +42,12 @@ def test_entry_contract(spark):
     assert rows and set(df.columns) == {"split", "n_pairs", "avg_text_chars", "avg_gloss_chars"}
     qs, sql = E.queries(), E.oracle_sql()
     assert set(sql) <= set(qs) and len(qs) >= 60
+
+
+def test_repeated_ids_keep_their_rows(spark):
+    from glosspark.operators import vocab as V
+    df = spark.createDataFrame([("a", "x y"), ("a", "y z"), ("b", "x y"), ("b", "x y")], "id string, text string")
+    vocab = spark.createDataFrame([("<pad>", 0), ("<sos>", 1), ("<eos>", 2), ("<unk>", 3), ("x", 4), ("y", 5), ("z", 6)], "token string, idx int")
+    enc = V.encode(df, "text", vocab)
+    assert sorted((r.id, r.ids) for r in enc.collect()) == [("a", [1, 4, 5, 2]), ("a", [1, 5, 6, 2]), ("b", [1, 4, 5, 2]), ("b", [1, 4, 5, 2])]
+    assert sorted((r.id, r.text) for r in V.decode(enc, "ids", vocab).collect()) == [("a", "x y"), ("a", "y z"), ("b", "x y"), ("b", "x y")]
