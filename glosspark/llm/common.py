@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pickle
 import uuid
 
 import numpy as np
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +47,13 @@ def md5_60(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(s.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
+def sharing(spark, value):
+    """A function that gives tasks `value`, broadcast with its classes, so that executors need no
+    copy of this package. For values of bounded size."""
+    raw = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: pickle.loads(raw.value)
+
+
 def small_side(df: DataFrame) -> DataFrame:
     """Broadcast hint behind a size check; a larger side stays a shuffle join.
 

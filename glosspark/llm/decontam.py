@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glosspark.llm.common import checkpointed
+from glosspark.llm.common import checkpointed, sharing
 
 WINDOW = 10
 BLOCK_BYTES = 8 << 20
@@ -94,7 +94,7 @@ def _pass(docs: DataFrame, shared, text_col: str) -> DataFrame:
     at = docs.columns.index
 
     def run(batches):
-        searches = shared.value
+        searches = shared()
         for batch in batches:
             cols = list(batch.columns)
             texts, hits, items = cols[at(text_col)], cols[at("_hit")], cols[at("_items")]
@@ -126,7 +126,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text_col="text", item_c
     for k in range(blocks):
         part = ask if blocks == 1 else ask.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k)
         found = tables([tuple(r) for r in part.collect()], window)   # at most about block_bytes of text
-        out = _pass(out, spark.sparkContext.broadcast(found), text_col)
+        out = _pass(out, sharing(spark, found), text_col)
         if k < blocks - 1:
             out = checkpointed(out)
     n = F.octet_length("_hit").cast("long")

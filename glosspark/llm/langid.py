@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glosspark.llm.common import mix64
+from glosspark.llm.common import mix64, sharing
 
 NGRAMS = (2, 3, 4)
 BUCKET_BITS = 15
@@ -163,14 +163,14 @@ def train(labelled: DataFrame, id_col="doc_id", text_col="text", lang_col="lang"
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """`docs` with lang_pred, score and rejected."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = sharing(docs.sparkSession, model)
     base = docs.drop("lang_pred", "score", "rejected")
     names = base.columns
     schema = T.StructType(base.schema.fields + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()),
                                                 T.StructField("rejected", T.BooleanType())])
 
     def run(batches):
-        m = shared.value
+        m = shared()
         for batch in batches:
             got = [m.predict(t.as_py()) for t in batch.column(names.index(text_col))]
             add = [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()),

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glosspark.llm.common import mix64
+from glosspark.llm.common import mix64, sharing
 
 # The base patterns and their least lengths.
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -321,13 +321,13 @@ SPAN_TYPE = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.St
 
 def scan(docs: DataFrame, model: Crf, text_col: str = "text", out_col: str = "secrets") -> DataFrame:
     """`docs` with array<struct<start, end, kind>> of its text: code points, end exclusive."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = sharing(docs.sparkSession, model)
     base = docs.drop(out_col)
     names = base.columns
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
 
     def run(batches):
-        m = shared.value
+        m = shared()
         for batch in batches:
             got = [[{"start": s, "end": e, "kind": k} for s, e, k in spans(t.as_py(), m)] for t in batch.column(names.index(text_col))]
             yield pa.RecordBatch.from_arrays(list(batch.columns) + [pa.array(got, kind)], names=names + [out_col])
