@@ -13,9 +13,14 @@ with one comparison per member. Then, level by level, nodes that hold several co
 are looked at: one with at most `FEW` pairs across components per member is small and compares
 them all; a larger one compares its members with a new leader and branches on. Past `DEPTH`
 the tokens of the other trees follow. Only pairs inside a component already found are left
-out, so the components are those of the confirmed links. Before the full sets are fetched,
-pairs whose `TREES * DEPTH` tokens agree so seldom that a link would have to be `SLACK`
-standard deviations off are dropped (a link at the least similarity: one in 4000).
+out, so the components are those of the confirmed links.
+
+Before full sets are fetched, pairs are compared by odd sketches: a set's sketch has a bit per
+bin, toggled by every member in it. Bits that differ between two sketches are at most the
+symmetric difference of the sets, so a pair whose sketches differ too much is no link, for
+certain; this drops near misses without reading their texts and loses nothing. The members of a
+node are compared in bounded blocks (`BLOCK` members, each with the node's few minor members or
+its leader), so a large node is no large task and its pairs never become rows.
 
 Defined cases: without words (or text) a document's set is empty and linked with nothing;
 fewer words than a shingle are one shingle; rows with equal doc_id are one document (with
@@ -41,7 +46,9 @@ TREES = 16
 DEPTH = 8
 ROOT = 3
 FEW = 64
-SLACK = 3.5
+SKETCH_BITS = 1 << 15       # of the longest sketch; a set of n has 4 n to 8 n bits, at least 256
+BLOCK = 1024                # members of a node in one block
+BUCKET_ROWS = 8192          # rows of blocks in one task's turn
 SLICE = 4 << 20
 _NO_ID = 1 << 62            # classes without a doc_id are numbered from here
 
@@ -77,7 +84,7 @@ def minwise(sets: list[np.ndarray], tokens: int) -> np.ndarray:
 
 
 def _describe(shingle: int):
-    schema = pa.schema([("did", pa.int64()), ("x", pa.int64()), ("n", pa.int64()), ("g1", pa.int64()), ("g2", pa.int64()), ("paths", pa.list_(pa.binary()))])
+    schema = pa.schema([("did", pa.int64()), ("x", pa.int64()), ("n", pa.int64()), ("g1", pa.int64()), ("g2", pa.int64()), ("paths", pa.list_(pa.binary())), ("sketch", pa.binary())])
 
     def run(batches):
         for batch in batches:
@@ -89,7 +96,8 @@ def _describe(shingle: int):
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("did").slice(lo, hi - lo), batch.column("x").slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()),
                      pa.array([t[0] for t in total], pa.int64()), pa.array([t[1] for t in total], pa.int64()),
-                     pa.array([[row[k:k + DEPTH].tobytes() for k in range(0, len(row), DEPTH)] for row in sig], pa.list_(pa.binary()))], schema=schema)
+                     pa.array([[row[k:k + DEPTH].tobytes() for k in range(0, len(row), DEPTH)] for row in sig], pa.list_(pa.binary())),
+                     pa.array([odd_sketch(s) for s in sets], pa.binary())], schema=schema)
     return run
 
 
@@ -118,16 +126,69 @@ def _confirm(percent: int):
     return run
 
 
-def _likely(percent: int):
-    """Keeps pairs whose tokens agree often enough for a link."""
-    least, tokens = percent / 100, TREES * DEPTH
-    need = tokens * least - SLACK * np.sqrt(tokens * least * (1 - least))
+def odd_sketch(items: np.ndarray) -> bytes:
+    """Parity of the number of items in each bin; a power of two of bins, following the size."""
+    bits = max(256, min(SKETCH_BITS, 1 << (4 * len(items) - 1).bit_length()))
+    return np.packbits((np.bincount((items & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def fold(sketches: np.ndarray, words: int) -> np.ndarray:
+    """Rows of 64-bit words -> the sketches with fewer bins."""
+    while sketches.shape[-1] > words:
+        half = sketches.shape[-1] // 2
+        sketches = sketches[..., :half] ^ sketches[..., half:]
+    return sketches
+
+
+def differing(one: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """Bits that differ between a sketch and each of `many`: at most the symmetric difference."""
+    words = min(one.shape[-1], many.shape[-1])
+    return np.bitwise_count(fold(one, words) ^ fold(many, words)).sum(axis=-1, dtype=np.int64)
 
+
+def _close(percent: int):
+    """Keeps pairs (a, b, n, m, x, y) whose sketches x and y leave a link possible."""
     def run(batches):
         for batch in batches:
-            ok = [np.count_nonzero(np.frombuffer(x.as_buffer(), np.uint32) == np.frombuffer(y.as_buffer(), np.uint32)) >= need
-                  for x, y in zip(batch.column("x"), batch.column("y"))]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            least = (100 - percent) * (batch.column("n").to_numpy() + batch.column("m").to_numpy())
+            apart = np.array([differing(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64))
+                              for x, y in zip(batch.column("x"), batch.column("y"))], np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array((100 + percent) * apart <= least))
+    return run
+
+
+def _compare(percent: int):
+    """Blocks of nodes (a table sorted here by block) -> the pairs of a probe and a member that lie
+    in different components and whose sizes and sketches leave a link possible."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(table):
+        table = table.combine_chunks()
+        block, node, n, label, major = (table.column(c).to_numpy() for c in ("block", "node", "n", "label", "major"))
+        few, probe = (table.column(c).to_numpy(zero_copy_only=False).astype(bool) for c in ("few", "probe"))
+        sketch = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("sketch")]
+        order = np.argsort(block, kind="stable")
+        lefts, rights = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for rows in np.split(order, np.flatnonzero(np.diff(block[order])) + 1):
+            asks, members = rows[probe[rows]], rows[~probe[rows]]
+            if not len(asks) or not len(members):
+                continue
+            widths = np.array([len(sketch[i]) for i in members])
+            stacks = {w: (members[widths == w], np.stack([sketch[i] for i in members[widths == w]])) for w in np.unique(widths)}
+            for p in asks:
+                for w, (of, stack) in stacks.items():
+                    if w > 2 * len(sketch[p]) or 2 * w < len(sketch[p]):      # sizes more than a link's apart
+                        continue
+                    fit = (label[of] != label[p]) & (100 * np.minimum(n[of], n[p]) >= percent * np.maximum(n[of], n[p]))
+                    if few[p]:
+                        fit &= (label[of] == major[p]) | (node[of] > node[p])
+                    at = np.flatnonzero(fit)
+                    if len(at):
+                        ok = of[at[(100 + percent) * differing(sketch[p], stack[at]) <= (100 - percent) * (n[of[at]] + n[p])]]
+                        lefts.append(np.full(len(ok), node[p]))
+                        rights.append(node[ok])
+        p, q = np.concatenate(lefts), np.concatenate(rights)
+        return pa.Table.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], schema=schema)
     return run
 
 
@@ -137,12 +198,13 @@ class _Join:
     def __init__(self, texts: DataFrame, shingle: int, percent: int):
         self.percent = percent
         described = checkpointed(texts.select("did", "x", "text").mapInArrow(
-            _describe(shingle), "did long, x long, n long, g1 long, g2 long, paths array<binary>"))
+            _describe(shingle), "did long, x long, n long, g1 long, g2 long, paths array<binary>, sketch binary"))
         self.rows = described.select("did", "x", "n", "g1", "g2")
-        classes = described.filter("n > 0").groupBy("g1", "g2").agg(F.min(F.struct("did", "x")).alias("r"), F.first("n").alias("n"), F.first("paths").alias("paths"))
+        classes = described.filter("n > 0").groupBy("g1", "g2").agg(F.min(F.struct("did", "x")).alias("r"), F.first("n").alias("n"),
+                                                                      F.first("paths").alias("paths"), F.first("sketch").alias("sketch"))
         no_id = F.lit(_NO_ID) + F.shiftrightunsigned("g1", 2)
         self.classes = checkpointed(classes.select(
-            "g1", "g2", "n", "paths", F.col("r.did").alias("did"), F.col("r.x").alias("x"),
+            "g1", "g2", "n", "paths", "sketch", F.col("r.did").alias("did"), F.col("r.x").alias("x"),
             F.when(F.col("r.did") == P.LAST_ID, no_id).otherwise(F.col("r.did")).alias("node")))
         self.texts, self.shingle = texts, shingle
         self.links = self.labels = self.sets = None
@@ -165,40 +227,48 @@ class _Join:
         found = found.mapInArrow(_set_of(self.shingle), "node long, items binary")
         self.sets = checkpointed(found.dropDuplicates(["node", "items"]))
 
+    def plausible(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose sketches leave a link possible."""
+        of = self.classes.select("node", "n", "sketch")
+        return checkpointed(pairs.join(of.withColumnsRenamed({"node": "a", "sketch": "x"}), "a")
+                            .join(of.withColumnsRenamed({"node": "b", "n": "m", "sketch": "y"}), "b")
+                            .select("a", "b", "n", "m", "x", "y").mapInArrow(_close(self.percent), "a long, b long"))
+
     def confirm(self, pairs: DataFrame) -> None:
-        """Adds the links among `pairs` (a, b) and the components they make."""
-        tokens = self.classes.select("node", F.concat(*[F.element_at("paths", t + 1) for t in range(TREES)]).alias("tokens"))
-        pairs = (pairs.join(tokens.withColumnsRenamed({"node": "a", "tokens": "x"}), "a").join(tokens.withColumnsRenamed({"node": "b", "tokens": "y"}), "b")
-                 .select("a", "b", "x", "y").mapInArrow(_likely(self.percent), "a long, b long").distinct())
-        left = self.sets.select(F.col("node").alias("a"), F.col("items").alias("x"))
-        right = self.sets.select(F.col("node").alias("b"), F.col("items").alias("y"))
-        found = checkpointed(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-                             .mapInArrow(_confirm(self.percent), "a long, b long"))
-        self.links = found if self.links is None else self.links.unionByName(found)
-        self.labels = components(self.links)
+        """Adds the links among the checkpointed `pairs` (a, b) and the components they make."""
+        left = self.sets.withColumnsRenamed({"node": "a", "items": "x"}).join(small_side(pairs), "a")
+        asked = checkpointed(pairs.select("b").distinct())
+        right = self.sets.withColumnsRenamed({"node": "b", "items": "y"}).join(small_side(asked), "b")
+        found = checkpointed(left.join(right, "b").select("a", "b", "x", "y").mapInArrow(_confirm(self.percent), "a long, b long"))
+        if found.limit(1).count():
+            self.links = found if self.links is None else self.links.unionByName(found)
+            self.labels = components(self.links)
 
     def mixed(self, rows: DataFrame) -> DataFrame:
         """rows in nodes that hold several components, with their label, the label of the node's
         largest component, and whether the pairs across components are few."""
-        got = rows.join(self.labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        known = rows.sparkSession.createDataFrame([], "node long, label long") if self.labels is None else self.labels
+        got = rows.join(known, "node", "left").withColumn("label", F.coalesce("label", "node"))
         per = got.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
         of = (per.groupBy("key").agg(F.max(F.struct("c", "label")).alias("m"), F.sum("c").cast("double").alias("all"), F.sum(F.pow("c", F.lit(2))).alias("same"),
                                      F.count(F.lit(1)).alias("labels"))
-              .filter("labels > 1").select("key", F.col("m.label").alias("major"), ((F.col("all") * F.col("all") - F.col("same")) / 2 <= FEW * F.col("all")).alias("few")))
+              .filter("labels > 1").select("key", F.col("m.label").alias("major"), F.col("all").cast("long").alias("members"), ((F.col("all") * F.col("all") - F.col("same")) / 2 <= FEW * F.col("all")).alias("few")))
         return checkpointed(got.join(of, "key"))
 
     def across(self, rows: DataFrame) -> DataFrame:
-        """Candidate pairs across the components of mixed nodes: all of a small one (its minor
+        """Plausible pairs across the components of mixed nodes: all of a small one (its minor
         components against every member), each member with the leader in a larger one."""
-        one = F.struct("node", "n", "label")
-        few = rows.filter("few")
-        minor = few.filter("label <> major").select("key", one.alias("p"))
-        small = (minor.join(few.select("key", "major", one.alias("q")), "key").filter("p.label <> q.label")
-                 .filter("q.label = major or p.node < q.node"))
-        large = rows.filter("not few").select(F.col("leader").alias("p"), one.alias("q")).filter("p.node <> q.node")
-        pairs = small.select("p.node", "p.n", F.col("q.node").alias("other"), F.col("q.n").alias("m")).unionByName(
-            large.select("p.node", "p.n", F.col("q.node").alias("other"), F.col("q.n").alias("m"))).filter(self.similar_size("n", "m"))
-        return checkpointed(pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct())
+        blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+        rows = rows.select("key", "node", "n", "label", "major", "few", blocks.alias("blocks"),
+                           F.when(F.col("few"), F.col("label") != F.col("major")).otherwise(F.col("node") == F.col("leader.node")).alias("asks"))
+        rows = checkpointed(rows.join(self.classes.select("node", "sketch"), "node"))
+        cols = ["node", "n", "label", "major", "few", "sketch"]
+        members = rows.select("key", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("salt"), F.lit(False).alias("probe"), *cols)
+        probes = rows.filter("asks").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("salt"), F.lit(True).alias("probe"), *cols)
+        block = F.xxhash64("key", "salt")
+        buckets = P.bucket_count(rows.count(), BUCKET_ROWS, rows.sparkSession)
+        dealt = members.unionByName(probes).select(F.pmod(block, F.lit(buckets)).alias("bucket"), block.alias("block"), "probe", *cols)
+        return checkpointed(dealt.groupBy("bucket").applyInArrow(_compare(self.percent), "a long, b long").distinct())
 
 
 def _links(texts: DataFrame, shingle: int, percent: int) -> _Join:
@@ -213,7 +283,7 @@ def _links(texts: DataFrame, shingle: int, percent: int) -> _Join:
     # each class with one leader, the one it meets most often
     met = at.filter("node <> leader.node").filter(j.similar_size("n", "leader.n")).groupBy("node", F.col("leader.node").alias("other")).count()
     best = met.groupBy("node").agg(F.max(F.struct("count", "other")).alias("m"))
-    j.confirm(checkpointed(best.select(F.least("node", "m.other").alias("a"), F.greatest("node", "m.other").alias("b")).distinct()))
+    j.confirm(j.plausible(checkpointed(best.select(F.col("node").alias("a"), F.col("m.other").alias("b")))))
 
     while True:
         at = j.mixed(at)
