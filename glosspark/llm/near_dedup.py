@@ -38,14 +38,14 @@ from pyspark.sql import types as T
 
 from glosspark.llm import packed as P
 from glosspark.llm.common import checkpointed, mix64, rolling, small_side, word_hashes
-from glosspark.llm.components import components
+from glosspark.llm.components import components, merged
 
 SHINGLE = 3
 PERCENT = 85                # least similarity: 100 * intersection >= PERCENT * union
 TREES = 16
 DEPTH = 8
 ROOT = 3
-FEW = 64
+FEW = 256
 SKETCH_BITS = 1 << 15       # of the longest sketch; a set of n has 4 n to 8 n bits, at least 256
 BLOCK = 1024                # members of a node in one block
 BUCKET_ROWS = 8192          # rows of blocks in one task's turn
@@ -193,7 +193,7 @@ def _compare(percent: int):
 
 
 class _Join:
-    """The classes of one corpus, their trees, and the links confirmed so far."""
+    """The classes of one corpus, their trees, and the components found so far."""
 
     def __init__(self, texts: DataFrame, shingle: int, percent: int):
         self.percent = percent
@@ -207,7 +207,7 @@ class _Join:
             "g1", "g2", "n", "paths", "sketch", F.col("r.did").alias("did"), F.col("r.x").alias("x"),
             F.when(F.col("r.did") == P.LAST_ID, no_id).otherwise(F.col("r.did")).alias("node")))
         self.texts, self.shingle = texts, shingle
-        self.links = self.labels = self.sets = None
+        self.labels = self.sets = None
 
     def similar_size(self, a: str, b: str):
         return F.lit(100) * F.least(a, b) >= F.lit(self.percent) * F.greatest(a, b)
@@ -241,8 +241,7 @@ class _Join:
         right = self.sets.withColumnsRenamed({"node": "b", "items": "y"}).join(small_side(asked), "b")
         found = checkpointed(left.join(right, "b").select("a", "b", "x", "y").mapInArrow(_confirm(self.percent), "a long, b long"))
         if found.limit(1).count():
-            self.links = found if self.links is None else self.links.unionByName(found)
-            self.labels = components(self.links)
+            self.labels = components(found) if self.labels is None else merged(self.labels, found)
 
     def mixed(self, rows: DataFrame) -> DataFrame:
         """rows in nodes that hold several components, with their label, the label of the node's
