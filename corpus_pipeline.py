@@ -55,8 +55,7 @@ def decontaminate(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 def redact_secrets(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with every secret masked; n_chars follows the text."""
     plain, back = _shielded(docs, "_secrets")
-    found = secret_crf.scan(plain, secret_crf.train(plain), out_col="_secrets")
-    out = secret_crf.redacted(found, "text", "_secrets", MASK)
+    out = secret_crf.scan(plain, secret_crf.train(plain), out_col="_secrets", mask=MASK)
     if "n_chars" in docs.columns:
         changed = F.size("_secrets") > 0
         out = out.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars")))

@@ -319,8 +319,9 @@ SPAN_TYPE = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.St
                                       T.StructField("kind", T.StringType())]))
 
 
-def scan(docs: DataFrame, model: Crf, text_col: str = "text", out_col: str = "secrets") -> DataFrame:
-    """`docs` with array<struct<start, end, kind>> of its text: code points, end exclusive."""
+def scan(docs: DataFrame, model: Crf, text_col: str = "text", out_col: str = "secrets", mask: str | None = None) -> DataFrame:
+    """`docs` with array<struct<start, end, kind>> of its text: code points, end exclusive. With a
+    `mask`, the text has it in place of every span: scan and redaction share one Python worker."""
     shared = sharing(docs.sparkSession, model)
     base = docs.drop(out_col)
     names = base.columns
@@ -330,7 +331,12 @@ def scan(docs: DataFrame, model: Crf, text_col: str = "text", out_col: str = "se
         m = shared()
         for batch in batches:
             got = [[{"start": s, "end": e, "kind": k} for s, e, k in spans(t.as_py(), m)] for t in batch.column(names.index(text_col))]
-            yield pa.RecordBatch.from_arrays(list(batch.columns) + [pa.array(got, kind)], names=names + [out_col])
+            cols = list(batch.columns)
+            if mask is not None:
+                at = names.index(text_col)
+                texts = [redact(t.as_py(), [(x["start"], x["end"]) for x in found], mask) if found else t.as_py() for t, found in zip(batch.column(at), got)]
+                cols[at] = pa.array(texts, batch.schema.field(at).type)
+            yield pa.RecordBatch.from_arrays(cols + [pa.array(got, kind)], names=names + [out_col])
 
     return base.mapInArrow(run, T.StructType(base.schema.fields + [T.StructField(out_col, SPAN_TYPE)]))
 
@@ -343,21 +349,3 @@ def redact(text: str, found, mask: str = "[SECRET]") -> str:
             out += [text[at:s], mask]
         open_to = at = max(open_to, e)
     return "".join(out) + text[at:]
-
-
-def redacted(docs: DataFrame, text_col: str = "text", spans_col: str = "secrets", mask: str = "[SECRET]") -> DataFrame:
-    """`docs` with the spans of `spans_col` masked in the text."""
-    names = docs.columns
-
-    def run(batches):
-        at, found = names.index(text_col), names.index(spans_col)
-        for batch in batches:
-            texts = []
-            for t, f in zip(batch.column(at), batch.column(found)):
-                spans = f.as_py()
-                texts.append(redact(t.as_py(), [(x["start"], x["end"]) for x in spans], mask) if spans else t.as_py())
-            cols = list(batch.columns)
-            cols[at] = pa.array(texts, batch.schema.field(at).type)
-            yield pa.RecordBatch.from_arrays(cols, schema=batch.schema)
-
-    return docs.mapInArrow(run, docs.schema)
