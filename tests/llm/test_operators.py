@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from glosspark.llm import block_dedup, decontam, langid, mixing, near_dedup, pii, quotes, secret_crf, suffix_dedup, topk
 from glosspark.llm.common import documents
+from glosspark.llm.components import components, merged
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, kept string, _hit string"
@@ -112,6 +113,30 @@ def test_near_dedup_without_ids(spark):
     assert len(rows) == 4 and sum(r["kept"] for r in rows) == 3 and all(r["component_id"] in (None, (1 << 63) - 1) for r in rows)
 
 
+def test_odd_sketches_never_exceed_the_difference():
+    rng = np.random.default_rng(3)
+    for size in (1, 5, 70, 3000, 20000):
+        one = near_dedup.mix64(np.unique(rng.integers(1, 1 << 60, size, dtype=np.uint64)))
+        for extra in (0, 1, size // 10, size):
+            other = np.unique(np.concatenate((one[extra // 2:], near_dedup.mix64(rng.integers(1, 1 << 60, extra, dtype=np.uint64)))))
+            x, y = (np.frombuffer(near_dedup.odd_sketch(s), np.uint64) for s in (one, other))
+            got, real = int(near_dedup.differing(x, y[None])[0]), len(np.setxor1d(one, other))
+            assert got <= real and (real > 0.16 * size or got >= 0.8 * real - 4)
+
+
+def test_components_after_more_links(spark):
+    first = spark.createDataFrame([(1, 2), (2, 3), (7, 8), (20, 21)], "a long, b long")
+    more = spark.createDataFrame([(3, 8), (30, 31), (31, 20), (8, 3)], "a long, b long")
+    got = {r["node"]: r["label"] for r in merged(components(first), more).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 7: 1, 8: 1, 20: 20, 21: 20, 30: 20, 31: 20}
+
+
+def test_secret_scan_masks_in_one_pass(spark, odd):
+    rows = odd.limit(0).select("doc_id", "text").unionByName(spark.createDataFrame([(1, None), (2, ""), (3, "password = hunter22 end")], "doc_id long, text string"))
+    got = {r["doc_id"]: r["text"] for r in secret_crf.scan(rows, secret_crf.train(rows), mask="[SECRET]").collect()}
+    assert got[1] is None and got[2] == "" and "hunter22" not in got[3] and got[3].endswith(" end")
+
+
 def test_language_id(spark, odd):
     docs = documents(spark, "/root/testdata/sf0.01")
     model = langid.train(docs.filter(~langid.held_out()))
