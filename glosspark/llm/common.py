@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: A side is broadcast only when its measured size is below this.
 BROADCAST_BYTES = 32 << 20
+#: Rows of texts that a task works on and hands back at a time.
+BATCH_ROWS = 512
 
 
 def documents(spark, sf_dir: str, *cols: str) -> DataFrame:
@@ -66,6 +68,14 @@ def small_side(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_BYTES else df
 
 
+def by_rows(batches, rows: int = BATCH_ROWS):
+    """Arrow batches cut into ones of at most `rows` rows, so that what a task builds from whole
+    texts, and sends back, is small however large the batches are that it gets."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 # --- numpy pieces used inside tasks -----------------------------------------
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)

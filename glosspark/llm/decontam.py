@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glosspark.llm.common import checkpointed, sharing
+from glosspark.llm.common import by_rows, checkpointed, sharing
 
 WINDOW = 10
 BLOCK_BYTES = 8 << 20
@@ -95,7 +95,7 @@ def _pass(docs: DataFrame, shared, text_col: str) -> DataFrame:
 
     def run(batches):
         searches = shared()
-        for batch in batches:
+        for batch in by_rows(batches):
             cols = list(batch.columns)
             texts, hits, items = cols[at(text_col)], cols[at("_hit")], cols[at("_items")]
             out_hits, out_items = [], []

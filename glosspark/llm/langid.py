@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glosspark.llm.common import mix64, sharing
+from glosspark.llm.common import by_rows, mix64, sharing
 
 NGRAMS = (2, 3, 4)
 BUCKET_BITS = 15
@@ -171,7 +171,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
 
     def run(batches):
         m = shared()
-        for batch in batches:
+        for batch in by_rows(batches):
             got = [m.predict(t.as_py()) for t in batch.column(names.index(text_col))]
             add = [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()),
                    pa.array([g[0] == UNKNOWN or g[1] < m.threshold for g in got], pa.bool_())]

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glosspark.llm.common import mix64, sharing
+from glosspark.llm.common import by_rows, mix64, sharing
 
 # The base patterns and their least lengths.
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -329,7 +329,7 @@ def scan(docs: DataFrame, model: Crf, text_col: str = "text", out_col: str = "se
 
     def run(batches):
         m = shared()
-        for batch in batches:
+        for batch in by_rows(batches):
             got = [[{"start": s, "end": e, "kind": k} for s, e, k in spans(t.as_py(), m)] for t in batch.column(names.index(text_col))]
             cols = list(batch.columns)
             if mask is not None:

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from glosspark.llm import block_dedup, decontam, langid, mixing, near_dedup, pii, quotes, secret_crf, suffix_dedup, topk
-from glosspark.llm.common import documents
+from glosspark.llm.common import by_rows, documents
 from glosspark.llm.components import components, merged
 
 SF = "/root/testdata/sf0.001"
@@ -282,3 +282,11 @@ def test_empty_tables(spark, none):
         assert df.count() == 0
     e = spark.createDataFrame([], "id long, vec array<long>")
     assert topk.top_k(e, e, 20).count() == 0
+
+
+def test_batches_by_rows_keep_every_row():
+    import pyarrow as pa
+    batches = [pa.RecordBatch.from_pydict({"a": list(range(n)), "t": ["x"] * n}) for n in (0, 1, 7, 8, 9)]
+    got = list(by_rows(iter(batches), 4))
+    assert [r for b in got for r in b.to_pylist()] == [r for b in batches for r in b.to_pylist()]
+    assert max(b.num_rows for b in got) == 4
