@@ -1,19 +1,21 @@
 """MinHash near-dedup: a chosen-path set similarity join.
 
 A document's set are its distinct word shingles. Equal sets are one class, so groups of
-copies never reach the join. Every class gets `TREES * DEPTH` minwise tokens; a tree starts
-from the first `ROOT` tokens of its own path (classes with the same tokens share a node) and
-branches a node on the next token as long as it is not small. A pair of similarity s meets
-in a node of depth d with probability s^d per tree, and all trees are independent: at the
-least similarity and depth 3, 16 trees miss one pair in a million.
+copies never reach the join. Every class gets paths of `ROOT` minwise tokens, one per tree;
+classes with the same path share a node. A pair of similarity s meets in a node of depth d with
+probability s^d per tree, and all trees are independent, so `trees` gives as many as keep the
+odds that a pair at the least similarity meets in none of them at `MISS` or less.
 
 Candidates are confirmed on the full sets, in rounds that follow the components found so far.
 First each class is compared with one leader (random per node), which joins up large groups
-with one comparison per member. Then, level by level, nodes that hold several components
-are looked at: one with at most `FEW` pairs across components per member is small and compares
-them all; a larger one compares its members with a new leader and branches on. Past `DEPTH`
-the tokens of the other trees follow. Only pairs inside a component already found are left
-out, so the components are those of the confirmed links.
+with one comparison per member. Then nodes that hold several components are looked at: one
+with at most `FEW` pairs across components per member is small and compares them all; a larger
+one compares its members with a new leader, and is small if those links make it so. The classes
+of the nodes still large go to deeper paths in fresh trees, and as the odds to meet fall with the
+depth, the number of trees rises so that `MISS` holds at every depth by itself. Where the trees
+would cost more than to compare all these classes with one another, that is done instead. A pair
+is thus missed only if it meets in no tree of one of the depths it came to. Only pairs inside a
+component already found are left out, so the components are those of the confirmed links.
 
 Before full sets are fetched, pairs are compared by odd sketches: a set's sketch has a bit per
 bin, toggled by every member in it. Bits that differ between two sketches are at most the
@@ -30,6 +32,8 @@ component_id null unless it reaches a doc_id; equal rows get equal answers.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,14 +41,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glosspark.llm import packed as P
-from glosspark.llm.common import checkpointed, mix64, rolling, small_side, word_hashes
+from glosspark.llm.common import by_rows, checkpointed, mix64, rolling, small_side, word_hashes
 from glosspark.llm.components import components, merged
 
 SHINGLE = 3
 PERCENT = 85                # least similarity: 100 * intersection >= PERCENT * union
-TREES = 16
-DEPTH = 8
+TREES = 16                  # at least
+MISS = 1e-6                 # odds that a pair at the least similarity meets in no tree of a depth
 ROOT = 3
+STEP = 2                    # tokens by which paths of large nodes get longer
 FEW = 256
 SKETCH_BITS = 1 << 15       # of the longest sketch; a set of n has 4 n to 8 n bits, at least 256
 BLOCK = 1024                # members of a node in one block
@@ -70,20 +75,39 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, shingle: int) -> list[np.
     return out
 
 
-def minwise(sets: list[np.ndarray], tokens: int) -> np.ndarray:
-    """(sets, tokens) uint32: for each of `tokens` hash functions the least value in the set."""
+def trees(percent: int, depth: int) -> int:
+    """Independent trees so that a pair of similarity `percent` meets at `depth` in none of them with odds of at most MISS."""
+    return max(TREES, math.ceil(math.log(MISS) / math.log1p(-min(percent / 100, 0.999) ** depth)))
+
+
+def minwise(sets: list[np.ndarray], tokens: int, first: int = 0) -> np.ndarray:
+    """(sets, tokens) uint32: for each of `tokens` hash functions, numbered from `first`, the least value in the set."""
     out = np.zeros((len(sets), tokens), np.uint32)
     some = [i for i, s in enumerate(sets) if len(s)]
     if some:
         flat = np.concatenate([sets[i] for i in some])
         at = np.cumsum([0] + [len(sets[i]) for i in some[:-1]])
-        factors = mix64(np.arange(1, tokens + 1, dtype=np.uint64)) | np.uint64(1)
+        factors = mix64(np.arange(first + 1, first + tokens + 1, dtype=np.uint64)) | np.uint64(1)
         for k in range(tokens):
             out[some, k] = np.minimum.reduceat(flat * factors[k], at) >> np.uint64(32)
     return out
 
 
-def _describe(shingle: int):
+def paths(sets: list[np.ndarray], depth: int, number: int) -> pa.Array:
+    """For each set its paths of `depth` tokens in `number` trees; no other depth has the same hash functions."""
+    sig = minwise(sets, number * depth, (depth - ROOT) << 32)
+    return pa.array([[row[k:k + depth].tobytes() for k in range(0, len(row), depth)] for row in sig], pa.list_(pa.binary()))
+
+
+def _deeper(depth: int, number: int):
+    def run(batches):
+        for batch in by_rows(batches):
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column("items")]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([len(s) for s in sets], pa.int64()), paths(sets, depth, number)], names=["node", "n", "paths"])
+    return run
+
+
+def _describe(shingle: int, number: int):
     schema = pa.schema([("did", pa.int64()), ("x", pa.int64()), ("n", pa.int64()), ("g1", pa.int64()), ("g2", pa.int64()), ("paths", pa.list_(pa.binary())), ("sketch", pa.binary())])
 
     def run(batches):
@@ -91,12 +115,11 @@ def _describe(shingle: int):
             raw, off = P.text_parts(batch.column("text"))
             for lo, hi in P.slices(off, SLICE):
                 sets = shingle_sets(raw[off[lo]:off[hi]], off[lo:hi + 1] - off[lo], shingle)
-                sig = minwise(sets, TREES * DEPTH)
                 total = [np.array([mix64(s).sum(dtype=np.uint64), mix64(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)]).view(np.int64) for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("did").slice(lo, hi - lo), batch.column("x").slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()),
                      pa.array([t[0] for t in total], pa.int64()), pa.array([t[1] for t in total], pa.int64()),
-                     pa.array([[row[k:k + DEPTH].tobytes() for k in range(0, len(row), DEPTH)] for row in sig], pa.list_(pa.binary())),
+                     paths(sets, ROOT, number),
                      pa.array([odd_sketch(s) for s in sets], pa.binary())], schema=schema)
     return run
 
@@ -198,7 +221,7 @@ class _Join:
     def __init__(self, texts: DataFrame, shingle: int, percent: int):
         self.percent = percent
         described = checkpointed(texts.select("did", "x", "text").mapInArrow(
-            _describe(shingle), "did long, x long, n long, g1 long, g2 long, paths array<binary>, sketch binary"))
+            _describe(shingle, trees(percent, ROOT)), "did long, x long, n long, g1 long, g2 long, paths array<binary>, sketch binary"))
         self.rows = described.select("did", "x", "n", "g1", "g2")
         classes = described.filter("n > 0").groupBy("g1", "g2").agg(F.min(F.struct("did", "x")).alias("r"), F.first("n").alias("n"),
                                                                       F.first("paths").alias("paths"), F.first("sketch").alias("sketch"))
@@ -213,13 +236,17 @@ class _Join:
         return F.lit(100) * F.least(a, b) >= F.lit(self.percent) * F.greatest(a, b)
 
     def level(self, rows: DataFrame, depth: int) -> DataFrame:
-        """rows (tree, node, n, path) -> those in a node of two or more, with its key and leader."""
-        key = F.xxhash64("tree", F.substring("path", 1, 4 * depth))
-        keyed = rows.withColumn("key", key)
+        """rows (node, n, paths) -> a row per path that two or more share, with its key and leader."""
+        keyed = rows.select("node", "n", F.posexplode("paths").alias("tree", "path")).select("node", "n", F.xxhash64(F.lit(depth), "tree", "path").alias("key"))
         of = (keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct(F.xxhash64("key", "node").alias("r"), "node", "n")).alias("leader"))
-              .filter("size > 1"))
+              .filter("size > 1").drop("size"))
         return checkpointed(keyed.join(of, "key"))
 
+    def deeper(self, nodes: DataFrame, depth: int, number: int) -> DataFrame:
+        """The level of the classes `nodes` at `depth` in `number` fresh trees."""
+        of = self.sets.join(small_side(nodes), "node").select("node", "items")
+        return self.level(checkpointed(of.mapInArrow(_deeper(depth, number), "node long, n long, paths array<binary>")), depth)
+
     def load_sets(self, nodes: DataFrame) -> None:
         """Full sets of all classes that share a node with another."""
         wanted = checkpointed(nodes.select("node").distinct().join(self.classes.select("node", "did", "x"), "node"))
@@ -254,6 +281,12 @@ class _Join:
               .filter("labels > 1").select("key", F.col("m.label").alias("major"), F.col("all").cast("long").alias("members"), ((F.col("all") * F.col("all") - F.col("same")) / 2 <= FEW * F.col("all")).alias("few")))
         return checkpointed(got.join(of, "key"))
 
+    def compare(self, rows: DataFrame) -> None:
+        """Adds the links among the pairs of `across`."""
+        pairs = self.across(rows)
+        if pairs.limit(1).count():
+            self.confirm(pairs)
+
     def across(self, rows: DataFrame) -> DataFrame:
         """Plausible pairs across the components of mixed nodes: all of a small one (its minor
         components against every member), each member with the leader in a larger one."""
@@ -265,16 +298,15 @@ class _Join:
         members = rows.select("key", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("salt"), F.lit(False).alias("probe"), *cols)
         probes = rows.filter("asks").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("salt"), F.lit(True).alias("probe"), *cols)
         block = F.xxhash64("key", "salt")
-        buckets = P.bucket_count(rows.count(), BUCKET_ROWS, rows.sparkSession)
+        total = rows.agg(F.sum(1 + F.when(F.col("asks"), F.col("blocks")).otherwise(0)).alias("s")).first()["s"] or 0
+        buckets = P.bucket_count(total, BUCKET_ROWS, rows.sparkSession)
         dealt = members.unionByName(probes).select(F.pmod(block, F.lit(buckets)).alias("bucket"), block.alias("block"), "probe", *cols)
         return checkpointed(dealt.groupBy("bucket").applyInArrow(_compare(self.percent), "a long, b long").distinct())
 
 
 def _links(texts: DataFrame, shingle: int, percent: int) -> _Join:
     j = _Join(texts, shingle, percent)
-    trees = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(t.alias("tree"), F.element_at("paths", t + 1).alias("path")))
-    rows = j.classes.select("node", "n", F.explode(trees).alias("r")).select("node", "n", "r.tree", "r.path")
-    at, depth = j.level(rows, ROOT), ROOT
+    at, depth = j.level(j.classes.select("node", "n", "paths"), ROOT), ROOT
     if at.limit(1).count() == 0:
         return j
     j.load_sets(at)
@@ -286,20 +318,24 @@ def _links(texts: DataFrame, shingle: int, percent: int) -> _Join:
 
     while True:
         at = j.mixed(at)
-        pairs = j.across(at)
-        if pairs.limit(1).count():
-            j.confirm(pairs)
-        large = at.filter("not few").select("key", "node", "n", "tree", "path", "leader", "size")
-        if depth == TREES * DEPTH or large.limit(1).count() == 0:
+        j.compare(at)
+        while True:                 # the links found make some of the large nodes small
+            large = at.filter("not few").select("key", "node", "n", "leader")
+            if large.limit(1).count() == 0:
+                return j
+            at = j.mixed(large)
+            turned = at.filter("few")
+            if turned.limit(1).count() == 0:
+                break
+            j.compare(turned)
+        left = checkpointed(at.select("node").distinct())
+        number = trees(percent, depth + STEP)
+        if left.count() <= 2 * FEW * number:
+            whole = j.classes.join(small_side(left), "node").select(F.lit(0).cast("long").alias("key"), "node", "n", F.struct(F.lit(0).cast("long").alias("r"), "node", "n").alias("leader"))
+            j.compare(j.mixed(whole).withColumn("few", F.lit(True)))
             return j
-        rest = j.mixed(large).select("node", "n", "tree", "path")
-        if depth % DEPTH == 0:      # the tokens of the next tree follow
-            turn = depth // DEPTH
-            more = j.classes.select("node", F.explode(trees).alias("r")).select(
-                "node", ((F.col("r.tree") - turn + TREES) % TREES).alias("tree"), F.col("r.path").alias("more"))
-            rest = rest.join(more, ["node", "tree"]).select("node", "n", "tree", F.concat("path", "more").alias("path"))
-        depth += 1
-        at = j.level(rest, depth)
+        depth += STEP
+        at = j.deeper(left, depth, number)
 
 
 def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

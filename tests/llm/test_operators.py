@@ -107,6 +107,35 @@ def test_near_dedup(spark, odd, whole):
     assert got == _brute_components([(r["doc_id"], r["text"]) for r in df.collect()], 3, 85)
 
 
+@pytest.mark.parametrize("shingle,percent,own,changed", [(3, 85, 3, 3), (5, 80, 2, 2)])
+def test_near_dedup_inside_a_family_of_near_misses(spark, monkeypatch, shingle, percent, own, changed):
+    """Pairs just above the least similarity among many texts of one template that are no links."""
+    monkeypatch.setattr(near_dedup, "FEW", 4)
+    rng = np.random.default_rng(11)
+    rows = []
+    for family in range(150):
+        words = [f"t{i}" for i in range(120)]
+        for k in rng.choice(120, own, replace=False):
+            words[k] = f"own{family}x{k}"
+        rows.append((len(rows), " ".join(words)))
+        if family % 2 == 0:
+            kept = np.flatnonzero([w[0] == "t" for w in words])
+            for k in rng.choice(kept, changed, replace=False):
+                words[k] = f"more{family}x{k}"
+            rows.append((len(rows), " ".join(words)))
+    got = {r["id"]: (r["n_shingles"], r["component_id"], r["kept"])
+           for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=shingle, percent=percent).collect()}
+    want = _brute_components(rows, shingle, percent)
+    linked = [i for i, (_, c, _) in want.items() if c != i]
+    assert len(linked) > 60 and sum(got[i] != want[i] for i in want) == 0
+
+
+def test_trees_keep_the_odds_at_every_depth():
+    for percent in (50, 80, 85, 95):
+        for depth in (3, 5, 8, 15):
+            assert (1 - (percent / 100) ** depth) ** near_dedup.trees(percent, depth) <= 1e-6
+
+
 def test_near_dedup_without_ids(spark):
     df = spark.createDataFrame([(None, "a b c d"), (None, "a  b c d"), (None, "e f g h"), (None, None)], "doc_id long, text string")
     rows = near_dedup.near_duplicates(df).collect()
