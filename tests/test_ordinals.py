@@ -2,8 +2,10 @@
 
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
+from glosspark.operators.joins import positional_pairs
 from glosspark.operators.ordinals import exact_cut, rank_keys, sorted_ordinal, with_ordinal
 from glosspark.operators.splits import sample_exact, three_way_floors, train_validation
 from glosspark.sources.lines import read_lines
@@ -47,3 +49,12 @@ def test_split_sizes_and_invariance(spark):
     f = three_way_floors(df).groupBy("split").count().collect()
     assert {r.split: r["count"] for r in f} == {"train": 9876, "val": 1234, "test": 1235}
     assert sample_exact(df, 777).count() == 777
+
+
+def test_positional_pairs_report_a_shorter_text_side(spark):
+    gloss = spark.createDataFrame([(i, f"G{i}") for i in range(5)], "ord long, gloss string")
+    text = spark.createDataFrame([(i, f"t{i}") for i in range(5)], "ord long, translation string")
+    assert positional_pairs(gloss, text).count() == 5
+    assert positional_pairs(gloss.filter("ord < 3"), text).count() == 3
+    with pytest.raises(ValueError, match="5 gloss lines, 3 text lines"):
+        positional_pairs(gloss, text.filter("ord < 3"))
