@@ -4,8 +4,8 @@ The words of every document are cut into non-overlapping reference blocks of `bl
 their hashes are indexed and probed with every rolling window of `block` words. A repeat of
 `window` words (at least 2 * block) holds a whole reference block of its earlier copy, so a
 probe of the later copy hits it. Hits are extended to maximal exact repeats: the
-windows of `window` words around hits are compared by a 128-bit-like key (64 and 32 bits of
-independent hashes), all but the earliest of equal windows are covered, and overlapping
+windows of `window` words around hits are compared by 96 bits (64 and 32 of independent hashes
+of their words, which are BLAKE2b digests), all but the earliest of equal windows are covered, and overlapping
 covered windows join up. A covered word is removed.
 
 Both exchanges move packed places (`packed.py`). Windows that repeat inside one slice of a
@@ -77,12 +77,12 @@ def _windows(window: int, block: int, buckets: int):
             did, tie = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("did", "tie"))
             got = batch.column("got")
             for lo, hi in P.slices(off, SLICE):
-                h, doc, pos, size = word_hashes(raw[off[lo]:off[hi]], off[lo:hi + 1] - off[lo])
+                (h, g), doc, pos, size = word_hashes(raw[off[lo]:off[hi]], off[lo:hi + 1] - off[lo], both=True)
                 n = len(h) - window + 1
                 if n <= 0:
                     continue
                 head = np.cumsum(size) - size
-                hits = [head[i] + P.places(g["pos"]) for i in range(hi - lo) for g in got[lo + i].as_py()]
+                hits = [head[i] + P.places(x["pos"]) for i in range(hi - lo) for x in got[lo + i].as_py()]
                 x = np.concatenate(hits) if hits else np.zeros(0, np.int64)
                 # a hit at x is inside the windows that start in [x - (window - block), x]
                 open_ = np.zeros(len(h) + 2, np.int64)
@@ -90,7 +90,7 @@ def _windows(window: int, block: int, buckets: int):
                 np.subtract.at(open_, x + 1, 1)
                 at = np.flatnonzero((np.cumsum(open_)[:n] > 0) & (doc[:n] == doc[window - 1:]))
                 a = rolling(h, window)[at]
-                b = (rolling(h, window, 0xD6E8FEB86659FD93)[at] >> np.uint64(32)).astype(np.uint32)
+                b = (rolling(g, window)[at] >> np.uint64(32)).astype(np.uint32)
                 d, p, i, t = doc[at], pos[at], did[lo:hi], tie[lo:hi]
                 late = P.not_first(a, b, i[d], t[d], p)
                 rows = P.forward(COVERED, buckets, i, t, d[late], p[late])

@@ -10,6 +10,8 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glosspark.llm.words import coded, digests
+
 #: Java-regex word of the contracts: a run of anything but space and \\t..\\r.
 WORD = r"[^\x20\x09-\x0D]+"
 #: A side is broadcast only when its measured size is below this.
@@ -115,31 +117,16 @@ class Powers:
 FIRST, SECOND = Powers(0x9E3779B97F4A7C15), Powers(0xC2B2AE3D27D4EB4F)
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
-WORD_CHUNK = 1 << 20
-
-
-def word_hashes(raw: np.ndarray, offsets: np.ndarray):
-    """Hash, document index and position of every word of the texts raw[offsets[i]:offsets[i+1]].
-    Words do not cross texts; long inputs are hashed in chunks that end between words."""
-    inside = ~_BLANK[raw]
-    begin, stop = inside.copy(), inside.copy()
-    begin[1:] &= ~inside[:-1]
-    stop[:-1] &= ~inside[1:]
-    edge = offsets[1:-1]
-    edge = edge[(edge > 0) & (edge < len(raw))]
-    begin[edge] = inside[edge]
-    stop[edge - 1] = inside[edge - 1]
-    s, e = np.flatnonzero(begin), np.flatnonzero(stop) + 1
-    h = np.empty(len(s), np.uint64)
-    at = 0
-    while at < len(s):
-        upto = max(at + 1, int(np.searchsorted(e, s[at] + WORD_CHUNK, "right")))
-        lo, hi = s[at], e[upto - 1]
-        prefix = FIRST.prefix(raw[lo:hi])
-        h[at:upto] = FIRST.ranges(prefix, s[at:upto] - lo, e[at:upto] - lo)
-        at = upto
-    doc = np.searchsorted(offsets, s, "right") - 1
+
+
+def word_hashes(raw: np.ndarray, offsets: np.ndarray, both: bool = False):
+    """Hash, document index and position of every word of the texts raw[offsets[i]:offsets[i+1]],
+    and the number of words of each text. Words do not cross texts. The hashes come from BLAKE2b of
+    each distinct word; with `both`, the first result is a pair of independent hashes."""
+    code, s, _, doc, distinct = coded(raw, offsets, ~_BLANK[raw])
+    two = digests(distinct)
     head = np.searchsorted(s, offsets[:-1], "left")
+    h = (two[code, 0], two[code, 1]) if both else two[code, 0]
     return h, doc, np.arange(len(s)) - head[doc], np.diff(np.append(head, len(s)))
 
 
