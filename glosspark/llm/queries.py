@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glosspark.llm import (block_dedup, decontam, langid, mixing, near_dedup, oracles, pii, quotes, secret_crf,
-                           suffix_dedup, topk)
+from glosspark.llm import (block_dedup, collocations, decontam, jaccard_join, langid, mixing, near_dedup, oracles, pii, quotes, secret_crf,
+                           spelling, suffix_dedup, topk)
 from glosspark.llm.common import documents
 
 
@@ -84,7 +84,20 @@ def op10_mix_sources(spark, sf_dir):
         "doc_id", "source", "size", "source_size", "target", "taken")
 
 
+def op11_spelling_variants(spark, sf_dir):
+    return spelling.spelling_groups(spelling.vocabulary(documents(spark, sf_dir, "doc_id", "text")))
+
+
+def op12_ngram_jaccard_join(spark, sf_dir):
+    return jaccard_join.similar_groups(documents(spark, sf_dir, "doc_id", "text")).withColumnRenamed("id", "doc_id")
+
+
+def op13_phrase_collocations(spark, sf_dir):
+    return collocations.collocations(documents(spark, sf_dir, "text", "lang"))
+
+
 #: name -> (query, DuckDB SQL or None)
 QUERIES = {f.__name__: (f, oracles.SQL.get(f.__name__)) for f in (
     op1_quote_linking, op2_suffix_array_dedup, op3_chosen_path_dedup, op4_language_id, op5_exact_top_k, op6_pii_spans,
-    op7_benchmark_decontamination, op8_secret_spans, op9_block_anchor_dedup, op10_mix_sources)}
+    op7_benchmark_decontamination, op8_secret_spans, op9_block_anchor_dedup, op10_mix_sources, op11_spelling_variants,
+    op12_ngram_jaccard_join, op13_phrase_collocations)}
