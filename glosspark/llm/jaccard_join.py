@@ -22,7 +22,7 @@ the other units go to the cheapest segments, which leaves out what very many sha
 non-empty segments cannot take H + 1 units (rare) meets all sets of that scheme instead.
 
 *Verification.* The members outside a key's largest component (or its probes, where these are fewer) are
-compared with all of the key, in bounded blocks, by odd sketches: bits that differ are at most the
+compared with all of the key, in bounded parts, by odd sketches: bits that differ are at most the
 symmetric difference, so what they rule out is certainly no link. What is left is compared word by
 word on the texts themselves. Only pairs inside one component are left out, so components are
 those of all links.
@@ -54,8 +54,7 @@ BAND = 1.5                  # largest size of a band by its smallest, about
 SLACK = 1.25                # segments by the units that the largest sets need
 DELETION_SIZE = 64          # bands up to this size index one-deletion neighbourhoods
 KEYS = 500_000              # keys in one task's turn, about
-BLOCK = 1024                # members of a key in one block
-BLOCK_ROWS = 8192           # rows of blocks in one task's turn
+PART_ROWS = 16_384          # rows of a family's members in one task's turn, about
 STARS = 6                   # rounds of comparisons with leaders, at most
 _NO_ID = 1 << 62            # classes without a doc_id are numbered from here
 EQUAL, LESS = 0, 1          # a key of a whole segment, of one without a shingle
@@ -270,29 +269,36 @@ def _plausible(percent: int):
 
 
 def _compare(percent: int):
-    """Blocks of keys -> the plausible pairs of an asking and another member in different components."""
+    """Parts of families: rows (key, node, n, label, sketch), members (`probe` false) and asking sets -> the plausible pairs of an
+    asking set and a member of a common key in different components, each once."""
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        block, node, n, label = (table.column(c).to_numpy() for c in ("block", "node", "n", "label"))
+        key, node, n, label = (table.column(c).to_numpy() for c in ("key", "node", "n", "label"))
         probe = table.column("probe").to_numpy(zero_copy_only=False).astype(bool)
         sketches = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("sketch")]
         width = np.array([len(s) for s in sketches])
-        order = np.argsort(block, kind="stable")
+        members = np.flatnonzero(~probe)
+        members = members[np.argsort(key[members], kind="stable")]
+        asks = np.flatnonzero(probe)
+        asks = asks[np.argsort(node[asks], kind="stable")]
+        lo, hi = np.searchsorted(key[members], key[asks], "left"), np.searchsorted(key[members], key[asks], "right")
         lefts, rights, fars = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for rows in np.split(order, np.flatnonzero(np.diff(block[order])) + 1):
-            asks, members = rows[probe[rows]], rows[~probe[rows]]
-            stacks = [(of, np.stack([sketches[i] for i in of])) for of in (members[width[members] == w] for w in np.unique(width[members]))]
-            for p in asks if len(members) else ():
-                for of, stack in stacks:
-                    at = np.flatnonzero((label[of] != label[p]) & (least_partner(np.maximum(n[of], n[p]), percent) <= np.minimum(n[of], n[p])))
-                    if len(at):
-                        far = apart(sketches[p], stack[at])
-                        ok = far <= reach(n[of[at]], n[p], percent)
-                        lefts.append(np.full(int(ok.sum()), node[p]))
-                        rights.append(node[of[at[ok]]])
-                        fars.append(far[ok])
+        cuts = np.flatnonzero(np.diff(node[asks])) + 1
+        for first, last in zip(np.concatenate(([0], cuts)), np.concatenate((cuts, [len(asks)]))) if len(asks) else ():
+            p = asks[first]
+            of = np.concatenate([members[a:b] for a, b in zip(lo[first:last], hi[first:last])])
+            of = of[(label[of] != label[p]) & (least_partner(np.maximum(n[of], n[p]), percent) <= np.minimum(n[of], n[p]))]
+            of = of[np.unique(node[of], return_index=True)[1]]
+            for w in np.unique(width[of]):
+                some = of[width[of] == w]
+                far = apart(sketches[p], np.stack([sketches[i] for i in some]))
+                ok = far <= reach(n[some], n[p], percent)
+                lefts.append(np.full(int(ok.sum()), node[p]))
+                rights.append(node[some[ok]])
+                fars.append(far[ok])
         p, q = np.concatenate(lefts), np.concatenate(rights)
-        return pa.Table.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q)), pa.array(np.concatenate(fars))], schema=_PAIR)
+        pairs, at = np.unique(np.stack((np.minimum(p, q), np.maximum(p, q))), axis=1, return_index=True)
+        return pa.Table.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), pa.array(np.concatenate(fars)[at])], schema=_PAIR)
     return run
 
 
@@ -424,19 +430,21 @@ class _Join:
         at = checkpointed(at)
         per = at.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"), F.sum(F.col("asks").cast("long")).alias("asking"))
         of = (per.groupBy("key").agg(F.max(F.struct("c", "label")).alias("m"), F.sum("c").alias("members"), F.sum("asking").alias("asking"))
-              .select("key", "members", F.col("m.label").alias("major"), (F.col("members") - F.col("m.c") < F.col("asking")).alias("by_minor")))
-        blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+              .select("key", F.col("m.label").alias("major"), (F.col("members") - F.col("m.c") < F.col("asking")).alias("by_minor")))
+        cols = ["key", "node", "n", "label", "sketch"]
         at = (at.join(of, "key").join(self.classes.select("node", "n", "sketch"), "node")
-              .select("key", "node", "n", "label", "sketch", blocks.alias("blocks"), F.when(F.col("by_minor"), F.col("label") != F.col("major")).otherwise(F.col("asks")).alias("asks")))
+              .select("major", *cols, F.when(F.col("by_minor"), F.col("label") != F.col("major")).otherwise(F.col("asks")).alias("asks")))
         at = checkpointed(at)
-        cols = ["node", "n", "label", "sketch"]
-        members = at.select("key", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("salt"), F.lit(False).alias("probe"), *cols)
-        asking = at.filter("asks").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("salt"), F.lit(True).alias("probe"), *cols)
-        block = F.xxhash64("key", "salt")
-        total = at.agg(F.sum(1 + F.when(F.col("asks"), F.col("blocks")).otherwise(0))).first()[0] or 0
-        buckets = P.bucket_count(total, BLOCK_ROWS, at.sparkSession)
-        dealt = members.unionByName(asking).select(F.pmod(block, F.lit(buckets)).cast("int").alias("bucket"), block.alias("block"), "probe", *cols)
-        return checkpointed(dealt.groupBy("bucket").applyInArrow(_compare(self.percent), "a long, b long, least long").groupBy("a", "b").agg(F.min("least").alias("least")))
+        # a family are the keys of one largest component: its members are dealt to parts, in which a pair is compared once for all its keys
+        parts = checkpointed(at.groupBy("major").agg(F.ceil(F.count(F.lit(1)) / PART_ROWS).cast("int").alias("parts")))
+        at = at.join(small_side(parts), "major")
+        members = at.select("major", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"), F.lit(False).alias("probe"), *cols)
+        asking = at.filter("asks").select("major", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("probe"), *cols)
+        dealt = checkpointed(members.unionByName(asking))
+        buckets = P.bucket_count(dealt.count(), PART_ROWS, at.sparkSession)
+        dealt = dealt.withColumn("bucket", F.pmod(F.xxhash64("major", "part"), F.lit(buckets)).cast("int")).drop("major", "part")
+        found = dealt.groupBy("bucket").applyInArrow(_compare(self.percent), "a long, b long, least long")
+        return checkpointed(found.groupBy("a", "b").agg(F.min("least").alias("least")))
 
     def run(self) -> None:
         open_ = self.shared_keys()
