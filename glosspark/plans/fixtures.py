@@ -115,3 +115,33 @@ def raw_lines(spark: SparkSession, sf_dir: str, side: str = "gloss") -> DataFram
                 .otherwise(v))
     out = p.select("doc_id", "pos", rendered.alias("value"))
     return sorted_ordinal(out, ["doc_id", "pos"]).select("ord", "value")
+
+
+def derive_variant(line) -> F.Column:
+    """A prediction in other words: some tokens inflected, some replaced by `syn` + token, some dropped."""
+    plain = lambda t: t.rlike(r"\A[a-z]{4,}\z")
+
+    def change(t, i):
+        return (F.when(plain(t) & (i % 5 == 1), F.concat(t, F.lit("s")))
+                .when(plain(t) & (i % 5 == 2), F.concat(F.lit("syn"), t))
+                .when(plain(t) & (i % 5 == 3), F.concat(t, F.lit("ing")))
+                .otherwise(t))
+    return join_words(F.filter(F.transform(words(line), change), lambda t, i: i % 7 != 6))
+
+
+def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions that only stems and synonyms align with their reference."""
+    return pairs(spark, sf_dir).select("id", F.col("translation").alias("reference"), derive_variant(F.col("translation")).alias("prediction"))
+
+
+def synonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(word, synonym): `syn` + token for every plain token of the corpus."""
+    tokens = doc_lines(spark, sf_dir).select(F.explode(words(F.col("line"))).alias("synonym")).filter(F.col("synonym").rlike(r"\A[a-z]{4,}\z")).distinct()
+    return tokens.select(F.concat(F.lit("syn"), F.col("synonym")).alias("word"), "synonym")
+
+
+def whole_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents as one pair each: some run to thousands of tokens."""
+    docs = ensure_parallelism(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return docs.select(F.col("doc_id").alias("id"), text.alias("reference"), join_words(F.filter(words(text), lambda t, i: i % 7 != 3)).alias("prediction"))
