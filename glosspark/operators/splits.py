@@ -75,8 +75,15 @@ def parent_id(id_col: str = "id") -> Column:
 
 def grouped_train_validation(df: DataFrame, test_size: float = 0.2, seed=L.DEFAULT_SEED) -> DataFrame:
     """SP5 leak-safe mode: the split is decided per parent, so a pair and its augmented
-    copies land on the same side. Sizes are exact in parents (ceil of the parent count)."""
-    parents = df.select(parent_id().alias("pid")).distinct()
-    sides = train_validation(parents.withColumnRenamed("pid", "id"), test_size, "id", seed) \
-        .withColumnRenamed("id", "pid")
-    return df.withColumn("pid", parent_id()).join(sides, "pid").drop("pid")
+    copies land on the same side. Sizes are exact in parents (ceil of the parent count).
+
+    Only the distinct parents are cut; the place of the last validation parent in the hash order is one
+    row, and every row compares its own parent's place with it, without a join."""
+    parents = df.select(parent_id().alias("id")).distinct()
+    cut = assign_split(parents, lambda n: [math.ceil(test_size * n)], ["validation", "train"], "id", seed, keep_keys=True)
+    last = cut.filter(F.col("split") == "validation").agg(F.max(F.struct("_h", "_t")).alias("m")).first()["m"]
+    if last is None:
+        return df.withColumn("split", F.lit("train"))
+    keyed = rank_keys(df.withColumn("_pid", parent_id()), F.col("_pid"), ["_pid"], seed)
+    side = F.when(F.struct("_h", "_t") <= F.struct(F.lit(last["_h"]), F.lit(last["_t"])), "validation").otherwise("train")
+    return keyed.withColumn("split", side).drop("_pid", "_h", "_t")

@@ -166,4 +166,4 @@ def m11(spark, sf_dir):
     return MC.metric_means(MP.score_pairs(p).drop("prediction", "reference"), ["dataset"])
 
 
-from glosspark.plans import catalog_corpus, catalog_metrics  # noqa: E402,F401  (register their queries)
+from glosspark.plans import catalog_corpus, catalog_metrics, catalog_more  # noqa: E402,F401  (register their queries)

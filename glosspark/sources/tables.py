@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glosspark.operators.joins import checked_broadcast
+
 
 def named_split(df: DataFrame, preferred: str = "train", split_col: str = "split",
                 order: list[str] | None = None) -> DataFrame:
@@ -24,6 +26,20 @@ def named_split(df: DataFrame, preferred: str = "train", split_col: str = "split
     return df.filter(F.col(split_col) == pick)
 
 
+def stored_splits(spark: SparkSession, path: str, split_col: str = "split") -> list[str]:
+    """Names of the splits that `sinks.write_splits` stored: read from the partitions' names, no data file is opened."""
+    return sorted(r[0] for r in spark.read.parquet(path).select(split_col).distinct().collect() if r[0] is not None)
+
+
+def stored_split(spark: SparkSession, path: str, split: str, split_col: str = "split", datasets: DataFrame | None = None, dataset_col: str = "dataset") -> DataFrame:
+    """S7 over a stored corpus: the rows of one split; only its partitions are read. With `datasets` (a small table with
+    `dataset_col`) only those datasets, whose partitions are found when the query runs (dynamic pruning)."""
+    df = spark.read.parquet(path).filter(F.col(split_col) == split)
+    if datasets is None:
+        return df
+    return df.join(checked_broadcast(datasets.select(dataset_col).distinct()), dataset_col, "left_semi")
+
+
 def discover_column(df: DataFrame, needle: str) -> str:
     """First column whose lower-cased name contains `needle`; error lists the columns."""
     for c in df.columns:
