@@ -36,12 +36,13 @@ def near_dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     did = F.coalesce(F.col("id"), F.lit(packed.LAST_ID))
     stay = checkpointed(found.groupBy(did.alias("_did"), F.col("x").alias("_x")).agg(F.count(F.lit(1)).alias("_rows")))
     repeated = stay.filter("_rows > 1").limit(1).count() > 0
-    keyed = docs.withColumns({"_did": F.coalesce(F.col("doc_id").cast("long"), F.lit(packed.LAST_ID)),
+    plain, back = _shielded(docs, "_did", "_x")
+    keyed = plain.withColumns({"_did": F.coalesce(F.col("doc_id").cast("long"), F.lit(packed.LAST_ID)),
                               "_x": F.xxhash64(F.coalesce(F.col("text"), F.lit("")))})
     kept = keyed.join(small_side(stay.select("_did", "_x")), ["_did", "_x"], "left_semi")
     if repeated:
         kept = kept.dropDuplicates(["_did", "_x"])
-    return kept.select(docs.columns)
+    return kept.drop("_did", "_x").withColumnsRenamed(back).select(docs.columns)
 
 
 def decontaminate(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
