@@ -26,6 +26,7 @@ SHARE = 1.5
 MAX_REPEATS = 2
 SEED = "mix"
 _HALF = 30  # keys have 60 bits
+_PRIVATE = {"_key", "_src", "_epochs", "_cut", "_tied", "_left"}
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share=SHARE, max_repeats=MAX_REPEATS) -> DataFrame:
@@ -107,7 +108,9 @@ def apply_cuts(keyed: DataFrame, per_source: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", seed=SEED, **targets) -> DataFrame:
     """All documents with size, source_size, target and taken (words, repeats counted).
     Keeps every input column; `source_col` is read as the source."""
+    own = {c: f"_own_{i}_{c}" for i, c in enumerate(docs.columns) if c.lower() in _PRIVATE and c not in (id_col, text_col, source_col)}
+    docs = docs.withColumnsRenamed(own)                 # columns of the input with the names used here
     named = docs if source_col == "source" else docs.withColumn("source", F.col(source_col))
     keyed = with_size_and_key(named, id_col, text_col, seed)
     narrow = checkpointed(keyed.select("source", "size", "_key"))
-    return apply_cuts(keyed, cuts(narrow, **targets)).drop("_key")
+    return apply_cuts(keyed, cuts(narrow, **targets)).drop("_key").withColumnsRenamed({v: k for k, v in own.items()})

@@ -286,3 +286,21 @@ def test_quotient_filters_lose_nothing(bits):
             left, right, n = quotient.merge(rows, half, bucket_bits)
             got.update(zip(zip(*(x.tolist() for x in collocations.unpack(*quotient.restore(left, right, half), bits))), n.tolist()))
         assert got == total
+
+
+def test_mixing_keeps_columns_with_its_own_names(spark):
+    from glosspark.llm import mixing
+    names = ["_key", "_left", "_src", "_epochs", "_cut", "_tied"]
+    df = documents(spark, SF, "doc_id", "text", "source").limit(50)
+    clashing = df.withColumns({n: F.concat(F.lit(n), F.col("doc_id").cast("string")) for n in names})
+    got = {r["doc_id"]: r for r in mixing.mix(clashing).collect()}
+    want = {r["doc_id"]: r["taken"] for r in mixing.mix(df).collect()}
+    assert {i: r["taken"] for i, r in got.items()} == want and all(r[n] == f"{n}{i}" for i, r in got.items() for n in names)
+
+
+def test_near_dedup_stage_keeps_columns_with_its_own_names(spark):
+    import corpus_pipeline as cp
+    df = documents(spark, SF).withColumns({n: F.concat(F.lit(n), F.col("doc_id").cast("string")) for n in ("_x", "_did")})
+    out = cp.near_dedup_stage(spark, df, SF)
+    rows = out.collect()
+    assert out.columns == df.columns and rows and all(r["_x"] == f"_x{r['doc_id']}" and r["_did"] == f"_did{r['doc_id']}" for r in rows)
