@@ -4,10 +4,17 @@ Three fixed patterns (`assign`, `access`, `hex`) give the base spans, which alwa
 A CRF adds spans of kind `crf`: tokens are tagged as secret begin, inside or outside from
 their shape, their own and neighbouring words (hashed) and file features, and decoded with
 Viterbi. It is trained here, with stochastic gradient descent in numpy, on a bounded sample
-(`SAMPLE_DOCS` documents, at most `PIECES` pieces of `PIECE` tokens) whose labels are the base
-spans of those documents; only feature numbers travel to the driver.
+(`SAMPLE_DOCS` documents, at most `PIECES` pieces of `PIECE` tokens); only feature numbers
+travel to the driver.
 
-Decoding is exact and split: where "outside" beats the other tags by more than any
+Labels are the base spans, but the base patterns already find those, so the field must not
+learn the patterns themselves. Every labelled place is also learnt from `VARIANTS` respellings:
+its value is written anew in another alphabet and length, and its keyword and separator are
+replaced, which hides both. Unlabelled tokens that look random may be secrets in a form the
+patterns do not know: they are left out of the loss (their tag is summed over, not fixed).
+
+Texts are read `TEXT_CHUNK` characters at a time with the neighbouring tokens of the cut, so a
+very long text costs memory for its scores only. Decoding is exact and split: where "outside" beats the other tags by more than any
 transition can return, the best path must be outside, so only the short stretches between
 such tokens go through Viterbi, all of a batch at once.
 
@@ -18,7 +25,9 @@ with no sample or no labelled token the CRF adds nothing; other columns are kept
 
 from __future__ import annotations
 
+import random
 import re
+import string
 
 import numpy as np
 import pandas as pd
@@ -43,12 +52,20 @@ _HEX = re.compile(r"[0-9a-f]{24,}")      # a run that long, whole: the same as f
 SAMPLE_DOCS = 4000
 PIECE = 64
 PIECES = 6000
-EPOCHS = 6
-RATE = 0.3
+STEPS = 250
+STEP_PIECES = 50    # labelled pieces in a step of training, and as many others
+RATE = 0.5
+HIDDEN = 0.5        # share of pieces whose words are hidden in a step, so that shapes are learnt too
 L2 = 1e-4
-MIN_CHARS = 12      # an added span has at least so many characters
+VARIANTS = 8        # respellings of each labelled text
+MIN_CHARS = 8       # an added span has at least so many characters
+LEAST_ODD = 10      # a token looks random from so many characters on, with letters and digits in turn
 MIN_MARGIN = 2.0    # and beats the all-outside path by so much
-TEXT_CHUNK = 1 << 22
+TEXT_CHUNK = 1 << 18
+
+_ALPHABETS = ["0123456789abcdef", "0123456789ABCDEF", string.ascii_lowercase + string.digits, string.ascii_uppercase + string.digits,
+              string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", string.ascii_letters + string.digits + "-_."]
+_SEPARATORS = [" ", "=", " = ", ": ", ":", '="', ' = "', '": "']
 
 OUT, BEGIN, INSIDE = 0, 1, 2
 
@@ -68,6 +85,26 @@ def _values(text: str) -> list[tuple[int, int]]:
     return out + [(s, e) for s, e, k in base_spans(text) if k != "assign"]
 
 
+def respelled(text: str, seed: int) -> tuple[str, list[tuple[int, int]]]:
+    """The text with every labelled value written in another alphabet and length, and its keyword
+    and separator replaced; and where the new values are."""
+    draw = random.Random(seed)
+    found = [(m.start(), *m.span(2)) for m in _ASSIGN.finditer(text) if len(m[2]) >= LEAST["assign"]]
+    found += [(s, s, e) for s, e, k in base_spans(text) if k != "assign"]
+    parts, spans, at, size = [], [], 0, 0
+    for lead, s, e in sorted(found):
+        if lead < at:                     # inside the one before it
+            continue
+        word = "".join(draw.choices(string.ascii_lowercase, k=draw.randint(2, 10))) + draw.choice(_SEPARATORS) if draw.random() < 0.8 else ""
+        parts += [text[at:lead], word]
+        size += lead - at + len(word)
+        value = "".join(draw.choices(draw.choice(_ALPHABETS), k=draw.randint(10, 64)))
+        parts.append(value)
+        spans.append((size, size + len(value)))
+        size, at = size + len(value), e
+    return "".join(parts) + text[at:], spans
+
+
 # --- tokens and features -----------------------------------------------------
 
 _SPACE, _LOWER, _UPPER, _DIGIT, _JOIN, _PUNCT = range(6)
@@ -84,9 +121,18 @@ _OFFSETS = np.cumsum([0] + TABLES[:-1])
 N_FEATURES = int(sum(TABLES))
 
 
-def features(text: str):
+def file_feature(text: str) -> int:
+    """How much of the whole text is digits, and `=` or `:`, in four steps each."""
+    filled = max(1, len(text) - sum(map(text.count, " \t\n\x0b\x0c\r")))
+    digits, signs = sum(map(text.count, string.digits)) / filled, (text.count("=") + text.count(":")) / filled
+    return int(np.digitize(digits, (0.01, 0.05, 0.2))) * 4 + int(np.digitize(signs, (0.002, 0.01, 0.04)))
+
+
+def features(text: str, file: int | None = None):
     """Token starts, ends and feature numbers (tokens x tables): own shape, own word, the
-    words one and two before and one after, the shapes before and after, the file."""
+    words one and two before and one after, the shapes before and after, the file; and which
+    tokens look random."""
+    file = file_feature(text) if file is None else file
     code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     cls = _CLASS[np.minimum(code, 255)]
     n = len(code)
@@ -97,7 +143,7 @@ def features(text: str):
         new[1:] = ~(wordy[1:] & wordy[:-1])
     begins = np.flatnonzero(new & (cls != _SPACE))
     if not len(begins):
-        return begins, begins, np.zeros((0, len(TABLES)), np.int64)
+        return begins, begins, np.zeros((0, len(TABLES)), np.int64), np.zeros(0, bool)
     cuts = np.flatnonzero(new)
     at = np.searchsorted(cuts, begins)
     ends = np.append(cuts[1:], n)[at]
@@ -115,7 +161,8 @@ def features(text: str):
     ratio = np.where(digits == 0, 0, np.digitize(digits / size, (0.2, 0.5)) + 1)  # 4
     shape = (((length * 4 + ratio) * 2 + (uppers > 0)) * 2 + (lowers > 0)) * 2 + (joins > 0)
     shape = shape * 2 + (cls[begins] == _PUNCT)
-    own = shape * TURNS + np.minimum(turns // 2, TURNS - 1)
+    own = shape * TURNS + np.where(turns < 2, 0, 1 + (turns * 6 >= size) + (turns * 3 >= size))
+    odd = (size >= LEAST_ODD) & (digits > 0) & (lowers + uppers > 0) & (turns * 3 >= size)
     low = np.where(cls == _UPPER, code + 32, code).astype(np.uint64)
     # hash of the token: each character scrambled with its place in the token, summed
     place = np.zeros(n, np.uint64)
@@ -124,6 +171,7 @@ def features(text: str):
     mixed = mix64(low * np.uint64(0x100000001B3) + (np.arange(n, dtype=np.uint64) - place))
     total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed, dtype=np.uint64)))
     word = (mix64(total[ends] - total[begins]) >> np.uint64(52)).astype(np.int64)
+    word[odd] = 0                             # a random token says nothing as a word
 
     def moved(x, k):
         out = np.zeros(len(x), np.int64)
@@ -133,17 +181,14 @@ def features(text: str):
             out[:k] = x[-k:]
         return out
 
-    share = digits.sum() / max(1, size.sum())
-    signs = np.count_nonzero((code == 61) | (code == 58)) / max(1, len(begins))
-    file = int(np.digitize(share, (0.01, 0.05, 0.2))) * 4 + int(np.digitize(signs, (0.01, 0.05, 0.2)))
     cols = [own, word, moved(word, 1), moved(word, 2), moved(word, -1), moved(shape, 1), moved(shape, -1),
             np.full(len(begins), file)]
-    return begins, ends, np.stack(cols, axis=1) + _OFFSETS
+    return begins, ends, np.stack(cols, axis=1) + _OFFSETS, odd
 
 
-def labels(text: str, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def labels(values, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
     tag = np.zeros(len(begins), np.int64)
-    for s, e in _values(text):
+    for s, e in values:
         a, b = np.searchsorted(ends, s, "right"), np.searchsorted(begins, e, "left")
         tag[a:b] = INSIDE
         if b > a:
@@ -168,46 +213,58 @@ def _logsum(x, axis):
     return np.squeeze(m, axis) + np.log(np.exp(x - m).sum(axis=axis))
 
 
-def fit(feats: np.ndarray, tags: np.ndarray, mask: np.ndarray, seed: int = 11) -> Crf:
-    """feats (pieces, PIECE, tables), tags and mask (pieces, PIECE)."""
+def _expected(e: np.ndarray, tr: np.ndarray, m: np.ndarray):
+    """Expected tags (b, t, 3) and transitions (3, 3) of all paths, by forward and backward sums."""
+    b, t, _ = e.shape
+    alpha, beta = np.empty((b, t, 3)), np.zeros((b, t, 3))
+    alpha[:, 0] = e[:, 0]
+    for i in range(1, t):
+        nxt = _logsum(alpha[:, i - 1, :, None] + tr, 1) + e[:, i]
+        alpha[:, i] = np.where(m[:, i, None], nxt, alpha[:, i - 1])
+    for i in range(t - 2, -1, -1):
+        nxt = _logsum(tr + (e[:, i + 1] + beta[:, i + 1])[:, None, :], 2)
+        beta[:, i] = np.where(m[:, i + 1, None], nxt, beta[:, i + 1])
+    z = _logsum(alpha[:, -1], 1)[:, None, None]
+    p = np.exp(alpha + beta - z) * m[..., None]
+    pair = np.exp(alpha[:, :-1, :, None] + tr + (e + beta)[:, 1:, None, :] - z[..., None]) * m[:, 1:, None, None]
+    return p, pair.sum(axis=(0, 1))
+
+
+def fit(feats: np.ndarray, tags: np.ndarray, mask: np.ndarray, known: np.ndarray, seed: int = 11) -> Crf:
+    """feats (pieces, PIECE, tables); tags, mask and known (pieces, PIECE). The likelihood of the
+    known tags, summed over those of the other tokens: its gradient is the difference of
+    what all paths and the paths through the known tags expect."""
     if not len(feats) or not (tags > 0).any():
         return Crf()
     rng = np.random.default_rng(seed)
-    w, tr = np.zeros((N_FEATURES, 3)), np.zeros((3, 3))
-    gw2, gt2 = np.full((N_FEATURES, 3), 1e-6), np.full((3, 3), 1e-6)
-    for _ in range(EPOCHS):
-        order = rng.permutation(len(feats))
-        for at in range(0, len(order), 200):
-            pick = order[at:at + 200]
-            f, y, m = feats[pick], tags[pick], mask[pick]
-            b, t = y.shape
-            e = w[f].sum(axis=2)
-            alpha, beta = np.empty((b, t, 3)), np.zeros((b, t, 3))
-            alpha[:, 0] = e[:, 0]
-            for i in range(1, t):
-                nxt = _logsum(alpha[:, i - 1, :, None] + tr, 1) + e[:, i]
-                alpha[:, i] = np.where(m[:, i, None], nxt, alpha[:, i - 1])
-            for i in range(t - 2, -1, -1):
-                nxt = _logsum(tr + (e[:, i + 1] + beta[:, i + 1])[:, None, :], 2)
-                beta[:, i] = np.where(m[:, i + 1, None], nxt, beta[:, i + 1])
-            z = _logsum(alpha[:, -1], 1)[:, None, None]
-            p = np.exp(alpha + beta - z) * m[..., None]
-            np.put_along_axis(p, y[..., None], np.take_along_axis(p, y[..., None], 2) - m[..., None], 2)
-            pair = np.exp(alpha[:, :-1, :, None] + tr + (e + beta)[:, 1:, None, :] - z[..., None]) * m[:, 1:, None, None]
-            gt = pair.sum(axis=(0, 1))
-            np.subtract.at(gt, (y[:, :-1][m[:, 1:]], y[:, 1:][m[:, 1:]]), 1)
-            flat = f[m]
-            gw = np.stack([np.bincount(flat.ravel(), np.repeat(p[m][:, k], flat.shape[1]), N_FEATURES) for k in range(3)], axis=1)
-            gw, gt = gw / b + L2 * w, gt / b + L2 * tr
-            gw2 += gw * gw
-            gt2 += gt * gt
-            w -= RATE * gw / np.sqrt(gw2)
-            tr -= RATE * gt / np.sqrt(gt2)
-    return Crf(w.astype(np.float32), tr)
+    w, tr = np.zeros((N_FEATURES + 1, 3)), np.zeros((3, 3))        # the last row is no feature and stays 0
+    gw2, gt2 = np.full(w.shape, 1e-6), np.full((3, 3), 1e-6)
+    some = (tags > 0).any(axis=1)
+    sides = [x for x in (np.flatnonzero(some), np.flatnonzero(~some)) if len(x)]
+    for _ in range(STEPS):
+        pick = np.concatenate([rng.choice(x, STEP_PIECES) for x in sides])
+        f, y, m = feats[pick], tags[pick], mask[pick]
+        b = len(pick)
+        f[rng.random(b) < HIDDEN, :, 1:5] = N_FEATURES
+        e = w[f].sum(axis=2)
+        barred = known[pick][..., None] & (np.arange(3) != y[..., None])
+        p, gt = _expected(e, tr, m)
+        q, gq = _expected(np.where(barred, -1e4, e), tr, m)
+        p, gt = p - q, gt - gq
+        flat = f[m]
+        gw = np.stack([np.bincount(flat.ravel(), np.repeat(p[m][:, k], flat.shape[1]), N_FEATURES + 1) for k in range(3)], axis=1)
+        gw, gt = gw / b + L2 * w, gt / b + L2 * tr
+        gw2 += gw * gw
+        gt2 += gt * gt
+        w -= RATE * gw / np.sqrt(gw2)
+        w[-1] = 0
+        tr -= RATE * gt / np.sqrt(gt2)
+    return Crf(w[:-1].astype(np.float32), tr)
 
 
 def train(docs: DataFrame, id_col="doc_id", text_col="text", sample_docs=SAMPLE_DOCS, pieces=PIECES) -> Crf:
-    """Fit on pieces of a hash-chosen sample: all pieces with a labelled token, an eighth of the others."""
+    """Fit on pieces of a hash-chosen sample: all pieces with a labelled token, as they are and
+    respelled, and an eighth of the others."""
     n = docs.count()
     if not n:
         return Crf()
@@ -218,25 +275,31 @@ def train(docs: DataFrame, id_col="doc_id", text_col="text", sample_docs=SAMPLE_
         for pdf in batches:
             out = []
             for text, h in zip(pdf["text"], pdf["h"]):
-                begins, ends, f = features(text)
-                y = labels(text, begins, ends)
-                for at in range(0, len(y), PIECE):
-                    key = int(mix64(np.array([(int(h) + at) & (2**64 - 1)], np.uint64))[0] >> np.uint64(2))
-                    some = y[at:at + PIECE].any()
-                    if some or key % 8 == 0:
-                        out.append((not some, key, f[at:at + PIECE].astype(np.uint16).tobytes(), y[at:at + PIECE].astype(np.uint8).tobytes()))
-            yield pd.DataFrame(out, columns=["plain", "key", "f", "y"])
-
-    cutted = rows.mapInPandas(cut, "plain boolean, key long, f binary, y binary")
+                values = _values(text)
+                forms = [(text, values)] + [respelled(text, int(h) + k) for k in range(VARIANTS if values else 0)]
+                for k, (form, spans_) in enumerate(forms):
+                    begins, ends, f, odd = features(form)
+                    y = labels(spans_, begins, ends)
+                    sure = (y > 0) | ~odd
+                    for at in range(0, len(y), PIECE):
+                        key = int(mix64(np.array([(int(h) + at * (VARIANTS + 1) + k) & (2**64 - 1)], np.uint64))[0] >> np.uint64(2))
+                        some, upto = y[at:at + PIECE].any(), at + PIECE
+                        if some or (k == 0 and key % 8 == 0):
+                            out.append((not some, key, f[at:upto].astype(np.uint16).tobytes(), y[at:upto].astype(np.uint8).tobytes(),
+                                        sure[at:upto].tobytes()))
+            yield pd.DataFrame(out, columns=["plain", "key", "f", "y", "sure"])
+
+    cutted = rows.mapInPandas(cut, "plain boolean, key long, f binary, y binary, sure binary")
     got = [r for plain in (False, True)
            for r in cutted.filter(F.col("plain") == plain).orderBy("key", "f").limit(pieces // 2).collect()]
     f = np.zeros((len(got), PIECE, len(TABLES)), np.int64)
-    y, m = np.zeros((len(got), PIECE), np.int64), np.zeros((len(got), PIECE), bool)
+    y, m, known = np.zeros((len(got), PIECE), np.int64), np.zeros((len(got), PIECE), bool), np.ones((len(got), PIECE), bool)
     for i, r in enumerate(got):
         k = len(r["y"])
         y[i, :k], m[i, :k] = np.frombuffer(r["y"], np.uint8), True
         f[i, :k] = np.frombuffer(r["f"], np.uint16).reshape(k, -1)
-    return fit(f, y, m)
+        known[i, :k] = np.frombuffer(r["sure"], bool)
+    return fit(f, y, m, known)
 
 
 # --- decoding ----------------------------------------------------------------
@@ -283,14 +346,39 @@ def tag(emissions: np.ndarray, trans: np.ndarray) -> np.ndarray:
     return tags
 
 
+#: a character at which a text may be cut: none of a word's
+_EDGE = re.compile(r"[^A-Za-z0-9_+/.\x80-\U0010ffff-]")
+
+
+def emissions(text: str, model: Crf, chunk: int = TEXT_CHUNK):
+    """Token starts and ends of the whole text and their scores (tokens x 3). A chunk ends where no
+    token is cut, and hands its last token and the two before it on to the next one, so the
+    result is that of the text read at once."""
+    file, n = file_feature(text), len(text)
+    parts, left, fresh, end = [], 0, 0, 0
+    while end < n:
+        edge = _EDGE.search(text, min(n, end + chunk))
+        end = edge.start() if edge else n
+        begins, ends, f, _ = features(text[left:end], file)
+        if len(begins) < 4 and end < n:
+            continue                           # hardly a token yet: read on
+        e = np.zeros((len(begins), 3))
+        for k in range(f.shape[1]):
+            e += model.weights[f[:, k]]
+        give = slice(int(np.searchsorted(begins + left, fresh)), len(begins) if end == n else len(begins) - 1)
+        parts.append((begins[give] + left, ends[give] + left, e[give]))
+        if end < n:
+            left, fresh = left + int(begins[-3]), left + int(begins[-1])
+    if not parts:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 3))
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
 def crf_spans(text: str, model: Crf, base) -> list[tuple[int, int, str]]:
     """Spans the CRF adds: tagged tokens, joined while inside, clear of base spans."""
-    begins, ends, f = features(text)
+    begins, ends, e = emissions(text, model)
     if not len(begins):
         return []
-    e = model.weights[f[:, 0]].astype(np.float64)
-    for k in range(1, f.shape[1]):
-        e += model.weights[f[:, k]]
     tags = tag(e, model.trans)
     out = []
     hits = np.flatnonzero(tags != OUT)
