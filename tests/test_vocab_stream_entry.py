@@ -51,3 +51,19 @@ def test_repeated_ids_keep_their_rows(spark):
     enc = V.encode(df, "text", vocab)
     assert sorted((r.id, r.ids) for r in enc.collect()) == [("a", [1, 4, 5, 2]), ("a", [1, 5, 6, 2]), ("b", [1, 4, 5, 2]), ("b", [1, 4, 5, 2])]
     assert sorted((r.id, r.text) for r in V.decode(enc, "ids", vocab).collect()) == [("a", "x y"), ("a", "y z"), ("b", "x y"), ("b", "x y")]
+
+
+def test_encode_and_decode_shuffle_no_text(spark):
+    rows = [(1, "a b b"), (1, "a b b"), (2, "A b B"), (3, ""), (4, None), (5, "b unknown a")] + [(10 + i, "a a b") for i in range(50)]
+    df = spark.createDataFrame(rows, "id long, text string")
+    vocab = spark.createDataFrame([("<pad>", 0), ("<sos>", 1), ("<eos>", 2), ("<unk>", 3), ("a", 4), ("b", 5)], "token string, idx int")
+    enc = V.encode(df, "text", vocab)
+    code = {"a": 4, "b": 5}
+    want = sorted((i, [1] + [code.get(w, 3) for w in (t or "").lower().split()] + [2]) for i, t in rows)
+    assert sorted((r["id"], r["ids"]) for r in enc.collect()) == want
+    back = V.decode(enc, "ids", vocab)
+    assert sorted((r["id"], r["text"]) for r in back.collect()) == sorted(
+        (i, " ".join(w if w in code else "<unk>" for w in (t or "").lower().split())) for i, t in rows)
+    for made in (enc, back):
+        exchanged = [line for line in made._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in line]
+        assert exchanged and not any(c in line for line in exchanged for c in ("_text#", "_kept#", " text#"))
