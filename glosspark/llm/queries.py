@@ -25,7 +25,7 @@ def _hex(col) -> F.Column:
 def op1_quote_linking(spark, sf_dir):
     """Conversations, rendered as mail (each turn quotes the two before it), linked and ordered."""
     mail = quotes.as_mail(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
-    return quotes.reply_ordered(mail).select("conv_id", "turn", "role", "body", "n_passages", "n_linked", "parent_conv", "parent_turn",
+    return quotes.reply_ordered(mail, keep_text=False).select("conv_id", "turn", "role", "body", "n_passages", "n_linked", "parent_conv", "parent_turn",
                                              "thread_conv", "thread_turn", "depth", "position")
 
 

@@ -16,7 +16,8 @@ the least position of each thread, so no thread is gathered in one task.
 Defined cases: a null or empty text has an empty body and no passages; passages of other than
 letters and digits link to nothing; rows with equal conv_id and turn are one message (their
 quotes count together, each row keeps its body and has its own position); a message with a
-null conv_id or turn links to nothing; an empty table gives no rows; other columns are kept.
+null conv_id or turn links to nothing; an empty table gives no rows; other columns are kept,
+whatever their names, but for those that the result itself has.
 """
 
 from __future__ import annotations
@@ -33,61 +34,55 @@ def normalised(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
 
 
-def _hash(text: Column) -> Column:
-    """Null where nothing is left to compare."""
-    n = normalised(text)
-    return F.when(n != "", F.md5(n.cast("binary")))
-
-
-def _marker(line: Column) -> Column:
-    return F.regexp_extract(line, MARKER, 0)
+def _hash(words: Column) -> Column:
+    return F.unhex(F.md5(words.cast("binary")))
 
 
 def parse(messages: DataFrame, text_col: str = "text") -> DataFrame:
-    """Adds `body` (unquoted lines) and `passages`: array<struct<level, lines>> of all runs, own
-    paragraphs (level 0) included."""
-    df = messages.withColumn("_lines", F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1))
-    df = df.withColumn("_parsed", F.transform("_lines", lambda s: F.struct(
-        (F.length(_marker(s)) - F.length(F.replace(_marker(s), F.lit(">"), F.lit("")))).alias("level"),
-        F.trim(F.regexp_replace(s, MARKER, "")).alias("words"))))
+    """Adds `body` (unquoted lines), `n_passages` (quoted runs of lines) and `units`:
+    array<struct<level, weight, hash>>, what a message can be linked by. These are, of every
+    quoted passage and own paragraph (level 0), the whole, weighing its lines and one more, and
+    each line; and the body. Parts without letters and digits give no unit."""
+    lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
+    marked = F.transform(lines, lambda s: F.struct(s.alias("line"), F.regexp_extract(s, MARKER, 0).alias("marker")))
+    cut = F.transform(marked, lambda p: F.struct(
+        p["line"], (F.length(p["marker"]) - F.length(F.replace(p["marker"], F.lit(">"), F.lit("")))).alias("level"),
+        F.substr(p["line"], F.length(p["marker"]) + 1).alias("rest")))
+    df = messages.withColumn("_cut", F.transform(cut, lambda p: F.struct(
+        p["line"], p["level"], normalised(p["rest"]).alias("words"), (F.trim(p["rest"]) == "").alias("blank"))))
     # blank lines have no level: they belong to no run
-    df = df.withColumn("_level", F.transform("_parsed", lambda p: F.when(p["words"] == "", -1).otherwise(p["level"])))
+    df = df.withColumn("_level", F.transform("_cut", lambda p: F.when(p["blank"], -1).otherwise(p["level"])))
     df = df.withColumn("_starts", F.filter(F.sequence(F.lit(1), F.size("_level")), lambda i: (
         (i == 1) | (F.element_at("_level", i) != F.element_at("_level", F.greatest(i - 1, F.lit(1)))))))
-    runs = F.transform("_starts", lambda s, k: F.struct(
+    df = df.withColumn("_runs", F.filter(F.transform("_starts", lambda s, k: F.struct(
         F.element_at("_level", s).alias("level"),
-        F.transform(F.slice("_parsed", s, F.coalesce(F.get("_starts", k + 1), F.size("_level") + 1) - s), lambda p: p["words"]).alias("lines")))
-    own = F.filter("_lines", lambda s: ~s.rlike(MARKER))
-    return df.withColumns({
-        "passages": F.filter(runs, lambda r: r["level"] >= 0),
-        "body": F.regexp_replace(F.array_join(own, "\n"), r"^\s+|\s+$", ""),
-    }).drop("_lines", "_parsed", "_level", "_starts")
+        F.slice("_cut", s, F.coalesce(F.get("_starts", k + 1), F.size("_level") + 1) - s).alias("cut"))), lambda r: r["level"] >= 0))
+    own = F.filter("_cut", lambda p: p["level"] == 0)
 
+    def words(cut: Column) -> Column:
+        return F.filter(F.transform(cut, lambda p: p["words"]), lambda w: w != "")
 
-def _units(lines: Column) -> Column:
-    """Hashes to compare: the passage whole, weighing its lines and one more, and each line."""
-    whole = F.array(F.struct((F.size(lines) + 1).cast("long").alias("weight"), _hash(F.array_join(lines, " ")).alias("hash")))
-    return F.concat(whole, F.transform(lines, lambda s: F.struct(F.lit(1).cast("long").alias("weight"), _hash(s).alias("hash"))))
+    def unit(level, weight, text: Column) -> Column:
+        return F.struct(level.cast("int").alias("level"), weight.cast("long").alias("weight"), _hash(text).alias("hash"))
 
-
-def originals(parsed: DataFrame, conv="conv_id", turn="turn") -> DataFrame:
-    """(c, t, hash) of every body, own paragraph and own line."""
-    own = F.filter("passages", lambda r: r["level"] == 0)
-    every = F.concat(F.array(F.struct(F.lit(0).cast("long").alias("weight"), _hash(F.col("body")).alias("hash"))),
-                     F.flatten(F.transform(own, lambda r: _units(r["lines"]))))
-    return (parsed.select(F.col(conv).alias("c"), F.col(turn).alias("t"), F.explode(F.array_distinct(F.transform(every, lambda u: u["hash"]))).alias("hash"))
-            .filter("hash is not null and c is not null and t is not null"))
+    listed = F.transform("_runs", lambda r: F.struct(r["level"], F.size(r["cut"]).alias("size"), words(r["cut"]).alias("words")))
+    of_runs = F.transform(F.filter(listed, lambda r: F.size(r["words"]) > 0), lambda r: F.concat(
+        F.array(unit(r["level"], r["size"] + 1, F.array_join(r["words"], " "))), F.transform(r["words"], lambda w: unit(r["level"], F.lit(1), w))))
+    of_body = F.transform(F.filter(F.array(F.array_join(words(own), " ")), lambda w: w != ""), lambda w: unit(F.lit(0), F.lit(0), w))
+    return df.withColumns({
+        "body": F.regexp_replace(F.array_join(F.transform(own, lambda p: p["line"]), "\n"), r"^\s+|\s+$", ""),
+        "n_passages": F.size(F.filter("_runs", lambda r: r["level"] > 0)).cast("long"),
+        "units": F.concat(of_body, F.flatten(of_runs)),
+    }).drop("_cut", "_level", "_starts", "_runs")
 
 
 def matches(parsed: DataFrame, conv="conv_id", turn="turn") -> DataFrame:
     """(c, t, level, weight, oc, ot, near) of every quoted unit that has an original."""
-    quoted = (parsed.select(F.col(conv).alias("c"), F.col(turn).alias("t"), F.explode("passages").alias("p")).filter("p.level > 0")
-              .select("c", "t", F.col("p.level").alias("level"), F.explode(_units(F.col("p.lines"))).alias("u"))
-              .groupBy("c", "t", "level", F.col("u.hash").alias("hash")).agg(F.sum("u.weight").alias("weight"))
-              .filter("hash is not null and c is not null and t is not null"))
-    own = originals(parsed, conv, turn)
-    here = own.groupBy("c", "hash").agg(F.min("t").alias("here"))
-    first = own.groupBy("hash").agg(F.min(F.struct("c", "t")).alias("first"))
+    units = (parsed.select(F.col(conv).alias("c"), F.col(turn).alias("t"), F.explode("units").alias("u")).filter("c is not null and t is not null")
+             .select("c", "t", "u.level", "u.weight", "u.hash"))
+    quoted = units.filter("level > 0").groupBy("c", "t", "level", "hash").agg(F.sum("weight").alias("weight"))
+    here = units.filter("level = 0").groupBy("c", "hash").agg(F.min("t").alias("here"))
+    first = here.groupBy("hash").agg(F.min(F.struct("c", F.col("here").alias("t"))).alias("first"))
     found = quoted.join(here, ["c", "hash"], "left").join(first, "hash", "left")
     near = F.coalesce(F.col("here") < F.col("t"), F.lit(False))
     far = F.coalesce(F.col("first") < F.struct("c", "t"), F.lit(False))
@@ -120,31 +115,39 @@ def threads(parents: DataFrame) -> DataFrame:
             (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth")))
 
 
-def reply_ordered(messages: DataFrame, conv="conv_id", turn="turn", text_col="text") -> DataFrame:
+def reply_ordered(messages: DataFrame, conv="conv_id", turn="turn", text_col="text", keep_text: bool = True) -> DataFrame:
     """Every message with body, n_passages, n_linked, parent_conv, parent_turn, thread_conv,
-    thread_turn, depth and position (from 0) in its thread."""
+    thread_turn, depth and position (from 0) in its thread; its text only with `keep_text`. The
+    messages are read and parsed once; what is parsed goes to the checkpoint folder."""
     from glosspark.operators.ordinals import sorted_ordinal
-    made = ("body", "passages", "n_passages", "n_linked", "parent_conv", "parent_turn", "thread_conv", "thread_turn", "depth", "position")
-    parsed = parse(messages.drop(*made), text_col)
-    links = checkpointed(link(parsed, conv, turn))
+    made = ["body", "n_passages", "n_linked", "parent_conv", "parent_turn", "thread_conv", "thread_turn", "depth", "position"]
+    carried = [c for c in messages.columns if c not in (conv, turn, text_col, *made)]
+    # other columns travel in one, so that none meets a name used here
+    parsed = parse(messages.select(F.col(conv).alias("c"), F.col(turn).alias("t"), F.col(text_col).alias("x"),
+                                   F.struct(F.lit(0).alias("_"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(carried)]).alias("others")), "x")
+    held = checkpointed(parsed if keep_text else parsed.drop("x"))
+    links = checkpointed(link(held, "c", "t"))
     roots = threads(links.filter("pc is not null"))
-    flat = (parsed.withColumn("n_passages", F.size(F.filter("passages", lambda r: r["level"] > 0)).cast("long")).drop("passages")
-            .join(links.withColumnsRenamed({"c": conv, "t": turn}), [conv, turn], "left")
-            .join(roots.withColumnsRenamed({"c": conv, "t": turn}), [conv, turn], "left"))
+    flat = held.drop("units").join(links, ["c", "t"], "left").join(roots, ["c", "t"], "left")
     flat = flat.withColumns({
         "n_linked": F.coalesce("n_linked", F.lit(0)).cast("long"), "depth": F.coalesce("depth", F.lit(0)).cast("long"),
-        "thread_conv": F.when(F.col("depth").isNull(), F.col(conv)).otherwise(F.col("rc")),
-        "thread_turn": F.when(F.col("depth").isNull(), F.col(turn)).otherwise(F.col("rt")),
-    }).withColumnsRenamed({"pc": "parent_conv", "pt": "parent_turn"}).drop("rc", "rt")
-    numbered = sorted_ordinal(flat, ["thread_conv", "thread_turn", "depth", conv, turn, "body"], "_ord")
-    start = numbered.groupBy(F.col("thread_conv").alias("_c"), F.col("thread_turn").alias("_t")).agg(F.min("_ord").alias("_start"))
-    same = F.col("thread_conv").eqNullSafe(F.col("_c")) & F.col("thread_turn").eqNullSafe(F.col("_t"))
-    return numbered.join(start, same).withColumn("position", F.col("_ord") - F.col("_start")).drop("_ord", "_start", "_c", "_t")
+        "rc": F.when(F.col("depth").isNull(), F.col("c")).otherwise(F.col("rc")),
+        "rt": F.when(F.col("depth").isNull(), F.col("t")).otherwise(F.col("rt")),
+    })
+    numbered = sorted_ordinal(flat, ["rc", "rt", "depth", "c", "t", "body"], "_ord")
+    start = numbered.groupBy(F.col("rc").alias("sc"), F.col("rt").alias("st")).agg(F.min("_ord").alias("_start"))
+    same = F.col("rc").eqNullSafe(F.col("sc")) & F.col("rt").eqNullSafe(F.col("st"))
+    return numbered.join(start, same).select(
+        F.col("c").alias(conv), F.col("t").alias(turn), *([F.col("x").alias(text_col)] if keep_text else []),
+        *[F.col(f"others.c{i}").alias(c) for i, c in enumerate(carried)],
+        "body", "n_passages", "n_linked", F.col("pc").alias("parent_conv"), F.col("pt").alias("parent_turn"), F.col("rc").alias("thread_conv"),
+        F.col("rt").alias("thread_turn"), "depth", (F.col("_ord") - F.col("_start")).alias("position"))
 
 
 def as_mail(chat: DataFrame, conv="conv_id", turn="turn", text_col="text") -> DataFrame:
     """A chat rendered as mail: each message quotes the turn before it, and that turn's own quote
-    of the turn before that, one level deeper, above its own text."""
+    of the turn before that, one level deeper, above its own text. Other columns than the three
+    are kept if their names are not `_q1` and `_q2`."""
     one = chat.groupBy(conv, turn).agg(F.min(text_col).alias("_q"))
 
     def before(k: int) -> DataFrame:
