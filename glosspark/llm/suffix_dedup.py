@@ -9,10 +9,10 @@ doc_id, or same document at an earlier offset); strings are judged on the input.
 2. There, pieces equal in all bytes (by hash) are settled: all but the earliest are covered.
    Where an anchor has different pieces, the earliest of each is asked for.
 3. The texts of those pieces are gathered by anchor, and each bucket orders their suffixes
-   (rank doubling up to `length` bytes). In suffix order, runs of neighbours with a common
-   prefix of `length` hold the equal windows; a window has a longest previous factor of
-   `length` or more exactly if its nearest smaller position before or after lies in its run,
-   that is, if it is not the run's smallest. Those windows are covered.
+   (rank doubling up to `length` bytes). The earlier match of a window that reaches furthest is at
+   the previous or next smaller position in suffix order; the longer of the two common prefixes
+   is its longest previous factor (counted up to `length`). Windows whose factor reaches
+   `length` are covered.
    An anchor with more than `HOT` different pieces (a passage that many documents share, met
    in many contexts) sends its windows as hashes instead, settled by the earliest place, so no
    task holds such a group's text; repeats inside a slice are settled before sending.
@@ -39,7 +39,7 @@ GRAM = 40
 SLICE = 1 << 20             # bytes of text a task handles at a time
 PIECES = 3_000_000          # per bucket, about
 HOT = 512                   # different pieces of one anchor
-SUFFIX_BYTES = 4 << 20      # ordered at a time
+SUFFIX_BYTES = 2 << 20      # ordered at a time (or one anchor's pieces)
 
 PIECE, COVERED, ASK, ASK_HOT, TEXT, PLACE = range(6)
 
@@ -179,41 +179,100 @@ def _fetch(length: int, buckets: int):
     return run
 
 
-def suffix_classes(raw: np.ndarray, starts: np.ndarray, length: int):
-    """Order of the suffixes at `starts` by their first `length` bytes, and whether each has a
-    common prefix of `length` with the one before it. Every start has `length` bytes left."""
-    n = len(raw)
-    pad = np.zeros(n + 8, np.uint8)
-    pad[:n] = raw
-    code = np.zeros(n, np.uint64)
-    for i in range(8):
-        code = (code << np.uint64(8)) | pad[i:n + i]
-    rank = np.unique(code, return_inverse=True)[1].astype(np.int64)
-    have = min(8, length)
-    if length < 8:
-        rank = np.unique(code >> np.uint64(8 * (8 - length)), return_inverse=True)[1].astype(np.int64)
-    while have < length:
-        step = min(have, length - have)
-        nxt = np.zeros(n, np.int64)
-        nxt[:n - step] = rank[step:]
-        key = rank * n + nxt
-        have += step
-        rank = np.unique(key, return_inverse=True)[1] if have < length else key
-    r = rank[starts]
-    order = np.argsort(r, kind="stable")
-    same = np.concatenate(([False], r[order][1:] == r[order][:-1]))
-    return order, same
-
-
-def has_previous_factor(order: np.ndarray, same: np.ndarray, position: np.ndarray) -> np.ndarray:
-    """True for a suffix whose longest previous factor reaches the common length: going out from
-    it in suffix order while the common prefix holds, some suffix has a smaller position. That
-    is so unless its position is the least of its run."""
-    out = np.zeros(len(order), bool)
-    if len(order):
-        at = np.flatnonzero(~same)
-        least = np.minimum.reduceat(position[order], at)
-        out[order] = position[order] > np.repeat(least, np.diff(np.append(at, len(order))))
+class Suffixes:
+    """Suffixes of `raw` at `starts` ordered by their first `length` bytes (rank doubling); every
+    start has `length` bytes left. The ranks by 8, 16, 32... bytes stay, for common prefixes."""
+
+    def __init__(self, raw: np.ndarray, starts: np.ndarray, length: int):
+        n = len(raw)
+        self.starts, self.length, self.ranks = starts, length, []
+        pad = np.zeros(n + 8, np.uint8)
+        pad[:n] = raw
+        self.code = np.zeros(n, np.uint64)                     # the next eight bytes of every place
+        for i in range(8):
+            self.code = (self.code << np.uint64(8)) | pad[i:n + i]
+        have = min(8, length)
+        key = self.code >> np.uint64(8 * (8 - have))
+        while have < length:
+            rank = np.unique(key, return_inverse=True)[1].astype(np.int64)
+            self.ranks.append((have, rank.astype(np.int32)))
+            step = min(have, length - have)
+            key = rank * n
+            key[:n - step] += rank[step:]
+            have += step
+        r = key[starts]
+        self.order = np.argsort(r, kind="stable")
+        self.same = np.concatenate((np.zeros(min(1, len(r)), bool), r[self.order][1:] == r[self.order][:-1]))
+
+    def common(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Length of the common prefix, up to `length`, of suffixes x[i] and y[i] of `starts`."""
+        x, y = self.starts[x], self.starts[y]
+        end = len(self.code) - 1
+        got = np.zeros(len(x), np.int64)
+        for size, rank in reversed(self.ranks):
+            a, b = np.minimum(x + got, end), np.minimum(y + got, end)
+            got += np.where((rank[a] == rank[b]) & (got < self.length), size, 0)
+        differ = self.code[np.minimum(x + got, end)] ^ self.code[np.minimum(y + got, end)]
+        for k in range(7, -1, -1):                              # bytes before the first that differs
+            differ >>= np.uint64(8) * (k < 7)
+            got += differ == 0
+        return np.minimum(got, self.length)
+
+
+def previous_smaller(values: np.ndarray, ask: np.ndarray) -> np.ndarray:
+    """For every index in `ask` the nearest index before it with a smaller value, -1 if none: up a
+    tree of block minima to the first block on the left that holds one, and down to its last."""
+    tree = [values]
+    top = np.iinfo(values.dtype).max
+    while len(tree[-1]) > 1:
+        low = tree[-1] if len(tree[-1]) % 2 == 0 else np.append(tree[-1], top)
+        tree.append(np.minimum(low[::2], low[1::2]))
+    out, want = np.full(len(ask), -1, np.int64), values[ask]
+    live, at = np.arange(len(ask)), ask.astype(np.int64)
+    found = []                                                  # (queries, block) per level
+    for low in tree[:-1]:
+        left = (at & 1 == 1) & (low[at - 1] < want[live])
+        found.append((live[left], at[left] - 1))
+        live, at = live[~left], at[~left] >> 1
+    q, block = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for level in range(len(found) - 1, -1, -1):
+        if level + 1 < len(found):                              # from the level above to the later half that holds one
+            right = np.minimum(2 * block + 1, len(tree[level]) - 1)
+            block = np.where((right == 2 * block + 1) & (tree[level][right] < want[q]), right, 2 * block)
+        q, block = np.concatenate((q, found[level][0])), np.concatenate((block, found[level][1]))
+    out[q] = block
+    return out
+
+
+def previous_factors(suffixes: Suffixes, position: np.ndarray, ask: np.ndarray | None = None) -> np.ndarray:
+    """Longest previous factors, up to the suffixes' length: the longest common prefix of a suffix
+    with one at a smaller position. In suffix order that is the nearest suffix before or after it
+    with a smaller position. With `ask`, only those of the places in suffix order; the result
+    follows `ask`, else the suffixes."""
+    order = suffixes.order
+    places = np.arange(len(order)) if ask is None else ask
+    by_order = position[order]
+    before = previous_smaller(by_order, places)
+    after = len(order) - 1 - previous_smaller(by_order[::-1], len(order) - 1 - places)
+    got = np.zeros(len(places), np.int64)
+    for other, there in ((before, before >= 0), (after, after < len(order))):
+        got[there] = np.maximum(got[there], suffixes.common(order[places[there]], order[other[there]]))
+    if ask is not None:
+        return got
+    out = np.zeros(len(order), np.int64)
+    out[order] = got
+    return out
+
+
+def repeats(suffixes: Suffixes, position: np.ndarray) -> np.ndarray:
+    """True for a suffix whose longest previous factor reaches the suffixes' length. Only one with a
+    neighbour of that common prefix can, so the others are not asked for."""
+    out = np.zeros(len(position), bool)
+    run = suffixes.same.copy()
+    run[:-1] |= suffixes.same[1:]
+    ask = np.flatnonzero(run)
+    if len(ask):
+        out[suffixes.order[ask]] = previous_factors(suffixes, position, ask) >= suffixes.length
     return out
 
 
@@ -251,7 +310,7 @@ def _suffixes(length: int, buckets: int):
             x = by_place
             new[1:] = (a[x][1:] != a[x][:-1]) | (b[x][1:] != b[x][:-1]) | (c[x][1:] != c[x][:-1])
             place[x] = np.cumsum(new)
-            late = has_previous_factor(*suffix_classes(part, starts, length), place)
+            late = repeats(Suffixes(part, starts, length), place)
             out += P.replies(COVERED, buckets, *P.runs(a[late], b[late], c[late]))
         return pa.Table.from_pylist(out, schema=P.BLOCK_ARROW)
     return run
