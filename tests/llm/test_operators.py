@@ -2,6 +2,8 @@
 
 import collections
 import hashlib
+import pickle
+import random
 import re
 import zlib
 
@@ -69,12 +71,27 @@ def test_suffix_dedup(spark, odd, whole, monkeypatch):
     assert got == _brute_repeats([(r["doc_id"], r["text"]) for r in df.collect()], lambda t: t.encode(), 100, bytes)
 
 
-def test_previous_factors():
-    raw = np.frombuffer(b"abracadabra-abracadabra", np.uint8)
-    starts = np.arange(len(raw) - 4)
-    late = suffix_dedup.has_previous_factor(*suffix_dedup.suffix_classes(raw, starts, 5), starts)
-    text = raw.tobytes()
-    assert late.tolist() == [text.find(text[i:i + 5]) < i for i in starts]
+@pytest.mark.parametrize("length", [1, 5, 8, 9, 20, 37])
+def test_previous_factors(length):
+    rng = np.random.default_rng(length)
+    for raw in (b"abracadabra-abracadabra" * 3, b"a" * 90, bytes(rng.integers(97, 99, 300, np.uint8)), bytes(length), b"\0\1" * 60 + b"\0" * 40):
+        text, starts = raw, np.arange(len(raw) - length + 1)
+        found = suffix_dedup.Suffixes(np.frombuffer(raw, np.uint8), starts, length)
+        place = rng.permutation(len(starts)) // 2                   # positions in another order, with ties
+        for position in (starts, place):
+            def common(i, j):
+                return next((k for k in range(length) if text[i + k] != text[j + k]), length)
+            want = [max((common(i, j) for j in starts if position[j] < position[i]), default=0) for i in starts]
+            assert suffix_dedup.previous_factors(found, position).tolist() == want
+            assert suffix_dedup.repeats(found, position).tolist() == [w >= length for w in want]
+
+
+def test_previous_smaller():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 2, 3, 7, 64, 301):
+        v = rng.integers(0, 1 + n // 3, n)
+        want = [next((j for j in range(i - 1, -1, -1) if v[j] < v[i]), -1) for i in range(n)]
+        assert suffix_dedup.previous_smaller(v, np.arange(n)).tolist() == want
 
 
 def _brute_components(rows, k, percent):
@@ -253,6 +270,42 @@ def test_wu_manber_against_windows(spark):
         assert hit == want and items == ids
 
 
+def test_wu_manber_on_random_words():
+    rng = random.Random(3)
+    for trial in range(200):
+        known = [f"{chr(97 + i % 26)}{i // 26}" * rng.randint(1, 3) for i in range(rng.choice([2, 5, 40]))]
+        bench = [(rng.choice([1, 2, 3, None]), " ".join(rng.choices(known, k=rng.randint(0, 14)))) for _ in range(rng.randint(0, 8))] + [(9, None)]
+        w = rng.choices(known + ["unknown"], k=rng.choice([0, 1, 3, 20, 700]))        # 700: several stretches
+        hit, items, want, ids = bytearray(len(w)), set(), bytearray(len(w)), set()
+        decontam.Searches(bench, 4).search([x.encode() for x in w], hit, items)
+        for i, t in bench:
+            b = (t or "").split()
+            m = min(4, len(b))
+            for string in {tuple(b[k:k + m]) for k in range(len(b) - m + 1)} if b else ():
+                for p in range(len(w) - m + 1):
+                    if tuple(w[p:p + m]) == string:
+                        want[p:p + m] = b"\1" * m
+                        ids.add(i)
+        assert hit == want and items == ids, trial
+
+
+def test_search_tables_are_small_and_passes_add_up(spark):
+    """16 MB of benchmark in several passes, over documents that hold parts of it."""
+    items = [(i, " ".join(f"{j * 2654435761 % 99991:x}" for j in range(i * 10000, i * 10000 + 10000))) for i in range(340)]
+    size = sum(len(t) for _, t in items)
+    assert size > 16 << 20
+    part, n = [], 0
+    for i, t in items[:20]:
+        part.append((i, t))
+        n += len(t)
+    assert len(pickle.dumps(decontam.Searches(part))) < 20 * n
+    rows = [(i, "start " + " ".join(t.split()[50:90]) + " end") for i, t in items[::30]] + [(999, "nothing of it here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string").repartition(4)
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], str(r["doc_id"]) in r["items"]) for r in decontam.contamination(docs, bench, block_bytes=6 << 20).collect()}
+    assert got == {i: (42, 40, True) for i, _ in rows[:-1]} | {999: (4, 0, False)}
+
+
 def test_secrets(spark, odd):
     docs = documents(spark, "/root/testdata/sf0.01")
     model = secret_crf.train(docs)
@@ -305,6 +358,69 @@ def test_quotes(spark):
     assert quotes.reply_ordered(df).count() == 9 and quotes.reply_ordered(df.limit(0)).count() == 0
 
 
+def _brute_threads(rows):
+    """Quotation linking of (conv, turn, text) rows by plain loops."""
+    def norm(t):
+        return " ".join("".join(c if c.isalpha() or c.isnumeric() else " " for c in t.lower()).split())
+
+    def passages(text):
+        out, last = [], None
+        for line in (text or "").split("\n"):
+            mark = re.match(r"(?:[ \t]*>)+", line)
+            rest, level = (line[mark.end():], mark[0].count(">")) if mark else (line, 0)
+            level = -1 if not rest.strip(" ") else level
+            if level >= 0:
+                if level != last:
+                    out.append((level, []))
+                out[-1][1].append(rest)
+            last = level
+        return out
+
+    here, own, result = {}, {}, {}
+    for c, t, x in sorted(rows):
+        own[c, t] = "\n".join(s for s in (x or "").split("\n") if not re.match(r"[ \t]*>", s)).strip()
+        for text in [own[c, t]] + [s for level, lines in passages(x) if level == 0 for s in [" ".join(lines), *lines]]:
+            here.setdefault(norm(text), []).append((c, t))
+    for c, t, x in rows:
+        found, n = collections.defaultdict(lambda: [0, None]), 0
+        for level, lines in passages(x):
+            n += level > 0
+            for weight, text in [(len(lines) + 1, " ".join(lines)), *[(1, s) for s in lines]] if level else []:
+                places = here.get(norm(text), []) if norm(text) else []
+                near = min((p for p in places if p[0] == c), default=None)
+                near, to = (1, near) if near and near < (c, t) else (0, min(places, default=None))
+                if to and to < (c, t):
+                    found[to][0] = max(found[to][0], near)
+                    if level == 1:
+                        found[to][1] = (found[to][1] or 0) + weight
+        best = max(((near, w, p) for p, (near, w) in found.items() if w is not None), default=(0, 0, (None, None)))
+        result[c, t] = (own[c, t], n, len(found), *best[2])
+    threads = collections.defaultdict(list)
+    for m in result:
+        root, depth = m, 0
+        while result[root][3] is not None:
+            root, depth = result[root][3:], depth + 1
+        threads[root].append((depth, m))
+    return {m: (*result[m], *root, depth, k) for root, ms in threads.items() for k, (depth, m) in enumerate(sorted(ms))}
+
+
+def test_quotes_against_loops(spark):
+    chat = spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id", "turn", "text").dropDuplicates(["conv_id", "turn"])
+    mail = quotes.as_mail(chat)
+    want = _brute_threads([tuple(r) for r in mail.collect()])
+    got = {(r[0], r[1]): tuple(r)[2:] for r in quotes.reply_ordered(mail).select(
+        "conv_id", "turn", "body", "n_passages", "n_linked", "parent_conv", "parent_turn", "thread_conv", "thread_turn", "depth", "position").collect()}
+    assert got == want and max(v[-2] for v in want.values()) > 1
+
+
+def test_quotes_keep_columns_of_any_name(spark):
+    rows = [(1, 0, "hello there", 1, 2, 3, 4), (1, 1, "> hello there\nyes", 5, 6, 7, 8)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, text string, c long, _cut long, rc long, units long")
+    got = {r["turn"]: r for r in quotes.reply_ordered(df).collect()}
+    assert [tuple(got[k][c] for c in ("c", "_cut", "rc", "units", "text")) for k in (0, 1)] == [(*r[3:], r[2]) for r in rows]
+    assert got[1]["parent_turn"] == 0 and "text" not in quotes.reply_ordered(df, keep_text=False).columns
+
+
 def test_empty_tables(spark, none):
     for df in (block_dedup.remove_repeats(none), suffix_dedup.remove_repeats(none), near_dedup.near_duplicates(none),
                langid.identify(none, langid.train(none)), secret_crf.scan(none, secret_crf.train(none)), pii.scan(none)):
