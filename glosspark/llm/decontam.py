@@ -1,7 +1,7 @@
 """Benchmark decontamination with a Wu-Manber search over words.
 
 Test strings are windows of `WINDOW` consecutive words of an item (a shorter item
-is one string). Words are numbers of a vocabulary (known by their 128-bit BLAKE2b digests).
+is one string). Words are numbers of the items' vocabulary.
 For each length the search keeps a shift table over hashed blocks of two words (how far the
 window may move; blocks that share an entry take the smaller shift), buckets of test strings
 by their last block, ordered inside by a hash of the whole string, and compares candidates word
@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 
 from glosspark.llm.common import by_rows, checkpointed, mix64, sharing
 from glosspark.llm.packed import slices, text_parts
-from glosspark.llm.words import coded, digests
+from glosspark.llm.words import coded
 
 WINDOW = 10
 BLOCK_BYTES = 8 << 20
@@ -139,12 +139,7 @@ class Searches:
         number = {i: k for k, i in enumerate(self.names)}
         raw, off = text_parts(pa.array([t for _, t in rows], pa.large_string()))
         code, doc, distinct = _words(raw, off)
-        two = digests(distinct)
-        order = np.lexsort((two[:, 1], two[:, 0]))
-        self.known = two[order]
-        rank = np.empty(len(order), np.int32)
-        rank[order] = np.arange(len(order))
-        words = rank[code]
+        self.known, words = distinct, code.astype(np.int32)
         size = np.bincount(doc, minlength=len(rows))
         head = np.cumsum(size) - size
         item = np.array([number[i] for i, _ in rows], np.int64)
@@ -155,28 +150,14 @@ class Searches:
             starts = np.repeat(head[pick], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             self.by_length.append(WuManber(words, starts, np.repeat(item[pick], n), int(m)))
 
-    def _numbers(self, distinct: pa.Array) -> np.ndarray:
-        """Vocabulary number of every word, -1 if it has none."""
-        two, first = digests(distinct), self.known[:, 0]
-        at = np.searchsorted(first, two[:, 0])
-        out = np.full(len(two), -1, np.int32)
-        look = np.arange(len(two))
-        while len(look):
-            look = look[at[look] < len(first)]
-            look = look[first[at[look]] == two[look, 0]]
-            same = self.known[at[look], 1] == two[look, 1]
-            out[look[same]] = at[look[same]]
-            look = look[~same]
-            at[look] += 1
-        return out
-
     def find(self, raw: np.ndarray, offsets: np.ndarray):
         """Of the texts raw[offsets[i]:offsets[i+1]]: the first word and the number of words, whether
         each word is hit, and the distinct (text, item) pairs."""
         code, doc, distinct = _words(raw, offsets)
         number = np.bincount(doc, minlength=len(offsets) - 1)
         head = np.cumsum(number) - number
-        words = self._numbers(distinct)[code]
+        number_of = pc.fill_null(pc.index_in(distinct, self.known), -1).to_numpy(zero_copy_only=False).astype(np.int32)
+        words = number_of[code]
         change = np.zeros(len(words) + 1, np.int32)
         pairs = []
         for s in self.by_length:
