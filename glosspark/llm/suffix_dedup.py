@@ -352,8 +352,9 @@ def remove_repeats(docs: DataFrame, id_col="doc_id", text_col="text", length: in
     size = docs.agg(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0
     buckets = P.bucket_count(2 * size // (length - gram + 2), PIECES, spark)
     texts, keys = P.keyed(docs, id_col, text_col)
+    # tasks follow the buckets, whose number follows the data, and not a setting of the session
     first = (texts.select("did", "tie", "text").mapInArrow(_anchors(length, gram, buckets), P.BLOCK_SCHEMA)
-             .groupBy("bucket").applyInArrow(_settle(buckets), P.BLOCK_SCHEMA))
+             .repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_settle(buckets), P.BLOCK_SCHEMA))
     late = (P.with_answers(texts, first, keys, "inner").mapInArrow(_fetch(length, 4 * buckets), P.BLOCK_SCHEMA)
-            .groupBy("bucket").applyInArrow(_suffixes(length, buckets), P.BLOCK_SCHEMA))
+            .repartition(4 * buckets, "bucket").groupBy("bucket").applyInArrow(_suffixes(length, buckets), P.BLOCK_SCHEMA))
     return P.with_answers(texts, late, keys, "left").mapInArrow(_remove(length), OUT)
