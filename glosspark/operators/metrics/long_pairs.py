@@ -15,11 +15,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glosspark.functions.text import words
+from glosspark.operators.joins import checked_broadcast
 from glosspark.operators.metrics.blocked import with_distances
+from glosspark.operators.metrics.counts import bleu_counts, rouge_counts
 from glosspark.operators.metrics.pairwise import METRIC_COLUMNS, ORDERS, _f1, rouge_tokens, score_pairs, smoothed_bleu
 from glosspark.operators.metrics.tokens import safe_div
 
 CHUNK = 2048
+LONG_CHARS = 1 << 15         # pairs with more characters on a side than this have their n-grams counted over many tasks
 LONG_WORDS = 4096            # pairs with more words on a side than this are scored over many tasks
 
 
@@ -51,21 +54,38 @@ def _wide(matches: DataFrame, name: str, orders) -> DataFrame:
     return matches.groupBy("id").agg(*[at(n, c).alias(f"{name}{c}{n}") for n in orders for c in ("m", "hn", "rn")])
 
 
-def count_scores(df: DataFrame, id_col: str = "id", prediction: str = "prediction", reference: str = "reference", rounding: int | None = 6) -> DataFrame:
-    """(id, bleu_1..4, rouge1_f, rouge2_f) of every pair by the shuffle plan; equal to the row plan's."""
+def count_scores(df: DataFrame, id_col: str = "id", prediction: str = "prediction", reference: str = "reference", rounding: int | None = 6,
+                 long_chars: int = LONG_CHARS) -> DataFrame:
+    """(id, bleu_1..4, rouge1_f, rouge2_f) of every pair. Pairs of up to `long_chars` characters a side are counted in their rows; only the
+    n-grams of longer ones, and of rows that share their id or have none, are counted over many tasks, so the shuffle holds those alone."""
     t = _texts(df, id_col, prediction, reference)
+    shared = t.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 and id is not null").select("id", F.lit(True).alias("_shared"))
+    t = t.join(checked_broadcast(shared), "id", "left")
+    wide = F.greatest(F.length("p"), F.length("r")) > long_chars
+    t = t.select("id", "p", "r", (wide | F.col("_shared").isNotNull() | F.col("id").isNull()).alias("_long"))
+    short = t.filter(~F.col("_long")).select("id", bleu_counts("p", "r").alias("b"), rouge_counts(F.lower("p"), F.lower("r")).alias("x"))
+    names = lambda side, n: [F.greatest(F.col(f"{side}.{s}") - n + 1, F.lit(0)).cast("long") for s in (("hl", "rl") if side == "b" else ("hn", "rn"))]
+    flat = []
+    for side, orders in (("b", ORDERS), ("x", (1, 2))):
+        for n in orders:
+            h, r = names(side, n)
+            flat += [F.col(f"{side}.m{n}").cast("long").alias(f"{side}m{n}"), h.alias(f"{side}hn{n}"), r.alias(f"{side}rn{n}")]
+    j = short.select("id", *flat).unionByName(_shuffled_counts(t.filter("_long").drop("_long")))
+    st = F.struct(*[v for n in ORDERS for v in (F.col(f"bm{n}").alias(f"m{n}"), F.greatest(F.col(f"bhn{n}"), F.lit(1)).alias(f"d{n}"))],
+                  F.col("bhn1").alias("hl"), F.col("brn1").alias("rl"))
+    out = {f"bleu_{k}": smoothed_bleu(st, k) for k in ORDERS}
+    out |= {f"rouge{n}_f": _f1(F.col(f"xm{n}"), F.col(f"xhn{n}"), F.col(f"xrn{n}")) for n in (1, 2)}
+    return j.select(F.col("id").alias(id_col), *[(F.round(v, rounding) if rounding is not None else v).alias(k) for k, v in out.items()])
+
 
+def _shuffled_counts(t: DataFrame) -> DataFrame:
+    """(id, p, r) -> matches and totals of every order, n-grams counted per (id, order, n-gram) over the cluster."""
     def sides(tok):
         return t.select("id", F.explode(F.array(F.struct(F.lit(0).alias("side"), tok(F.col("p")).alias("tokens")),
                                                 F.struct(F.lit(1).alias("side"), tok(F.col("r")).alias("tokens")))).alias("s")).select("id", "s.*")
     b = _wide(gram_matches(sides(words)), "b", ORDERS)
     x = _wide(gram_matches(sides(rouge_tokens), (1, 2)), "x", (1, 2))
-    j = t.select("id").join(b, "id", "left").join(x, "id", "left").na.fill(0)
-    st = F.struct(*[v for n in ORDERS for v in (F.col(f"bm{n}").alias(f"m{n}"), F.greatest(F.col(f"bhn{n}"), F.lit(1)).alias(f"d{n}"))],
-                  F.col("bhn1").alias("hl"), F.col("brn1").alias("rl"))
-    out = {f"bleu_{k}": smoothed_bleu(st, k) for k in ORDERS}
-    out |= {f"rouge{n}_f": _f1(F.col(f"xm{n}"), F.col(f"xhn{n}"), F.col(f"xrn{n}")) for n in (1, 2)}
-    return j.select(F.col("id").alias(id_col), *[(F.round(v, rounding) if rounding is not None else v).alias(k) for k, v in out.items()])
+    return t.select("id").join(b, "id", "left").join(x, "id", "left").na.fill(0)
 
 
 def distance_scores(df: DataFrame, id_col: str = "id", prediction: str = "prediction", reference: str = "reference", rounding: int | None = 6) -> DataFrame:
