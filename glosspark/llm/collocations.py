@@ -5,7 +5,7 @@
    row per dictionary entry with its count.
 2. The entries add up to the vocabulary per language. Words below the least count can be in no
    candidate; the others get dense ids, and every shard the ids of its own entries (a join of
-   dictionary entries, not of word occurrences).
+   dictionary entries, not of word occurrences). These ids follow the input in size and are never broadcast.
 3. Each shard's n-grams of ids are packed, permuted and counted in counting quotient filters
    (`quotient.py`), a filter per bucket of the quotient. Tasks add up their shards, and a bucket's
    filters from all tasks are merged as sorted lists. A frequent n-gram is so one entry per task.
@@ -40,7 +40,8 @@ COVER_PERCENT = 50          # a phrase is dropped whose longer phrase has this s
 TOP = 2000
 SCALE = 1_000_000
 SLICE = 8 << 20             # bytes of text in a shard
-ENTRIES = 2_000_000         # n-grams a task adds up before it sends filters
+ENTRIES = 1_000_000         # n-grams a task adds up before it sends filters
+STRIDE = 1 << 18            # words of a shard whose n-grams are packed at a time
 BUCKET_ENTRIES = 1_000_000  # n-grams in a bucket, at most about
 
 _BREAK = np.zeros(256, bool)
@@ -52,6 +53,15 @@ SHARDS = "shard long, lang string, word string, code int, n long, tokens binary"
 _SHARDS = pa.schema([("shard", pa.int64()), ("lang", pa.string()), ("word", pa.string()), ("code", pa.int32()), ("n", pa.int64()), ("tokens", pa.binary())])
 
 
+def planes(numbers: np.ndarray) -> bytes:
+    """Numbers below 2^32 as four planes of bytes: the upper ones, mostly zeros, compress on disk and in a shuffle."""
+    return np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def unplaned(raw) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
 def _shard(batches):
     """Rows of SHARDS: a row with the tokens of each shard, a row per entry of its dictionary."""
     made = 0
@@ -66,13 +76,13 @@ def _shard(batches):
                 continue
             entry, pairs = ranked(lang[lo:hi][doc], code)
             n = np.bincount(entry, minlength=len(pairs))
-            breaks = np.concatenate(([0], np.cumsum(_BREAK[part])))
-            apart = (doc[1:] != doc[:-1]) | (breaks[s[1:]] > breaks[e[:-1]])
+            breaks = np.flatnonzero(_BREAK[part])
+            apart = (doc[1:] != doc[:-1]) | (np.searchsorted(breaks, s[1:]) > np.searchsorted(breaks, e[:-1]))
             tokens = np.insert(entry + 1, np.flatnonzero(apart) + 1, 0)
             shard = (TaskContext.get().partitionId() << 32) + made
             made += 1
             yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.nulls(1, pa.string()), pa.nulls(1, pa.string()), pa.array([len(pairs)], pa.int32()),
-                                              pa.array([len(code)]), pa.array([tokens.astype("<u4").tobytes()], pa.binary())], schema=_SHARDS)
+                                              pa.array([len(code)]), pa.array([planes(tokens)], pa.binary())], schema=_SHARDS)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(len(pairs), shard)), names.take(pa.array(pairs >> np.uint64(32))),
                  words.take(pa.array(pairs & np.uint64(0xFFFFFFFF))).cast(pa.binary()).cast(pa.string()), pa.array(np.arange(len(pairs), dtype=np.int32)), pa.array(n),
@@ -99,11 +109,14 @@ def unpack(left, right, bits: int):
     return left >> u(2 * bits - half), w2, right & u((1 << bits) - 1)
 
 
-def _grams(tokens: np.ndarray, bits: int):
-    """Permuted keys of the pairs and triples of consecutive non-zero ids."""
+def _grams(tokens: np.ndarray, bits: int, starts: int | None = None):
+    """Permuted keys of the pairs and triples of consecutive non-zero ids, of those only that begin at the first `starts` places."""
     a, b = tokens[:-1], tokens[1:]
     two = (a > 0) & (b > 0)
     three = two[:-1] & two[1:]
+    if starts is not None:
+        two, three = two.copy(), three.copy()
+        two[starts:] = three[starts:] = False
     zero = np.zeros(int(two.sum()), np.uint64)
     pairs = pack(a[two], b[two], zero, bits)
     triples = pack(a[:-1][three], b[:-1][three], b[1:][three], bits)
@@ -126,15 +139,17 @@ def _filters(bits: int, bucket_bits: int):
         for batch in batches:
             for tokens, entries, ids in zip(batch.column("tokens"), batch.column("entries"), batch.column("ids")):
                 known = np.zeros(entries.as_py() + 1, np.uint64)
-                pairs = ids.values.to_numpy(zero_copy_only=False).astype(np.uint64)
-                known[(pairs >> np.uint64(32)).astype(np.int64) + 1] = pairs & np.uint64(0xFFFFFFFF)
-                left, right = _grams(known[np.frombuffer(tokens.as_buffer(), "<u4")], bits)
-                if len(left):
-                    parts.append(Q.tally(left, right))
-                    held += len(parts[-1][0])
-                if held > ENTRIES:
-                    yield sent(parts)
-                    parts, held = [], 0
+                pairs = ids.values.to_numpy(zero_copy_only=False)
+                known[(pairs >> 32) + 1] = pairs & 0xFFFFFFFF
+                codes = unplaned(tokens.as_buffer())
+                for at in range(0, len(codes), STRIDE):
+                    left, right = _grams(known[codes[at:at + STRIDE + 2]], bits, STRIDE)
+                    if len(left):
+                        parts.append(Q.tally(left, right))
+                        held += len(parts[-1][0])
+                    if held > ENTRIES:
+                        yield sent(parts)
+                        parts, held = [], 0
         if parts:
             yield sent(parts)
     return run
@@ -161,7 +176,7 @@ def phrase_counts(docs: DataFrame, text_col="text", lang_col="lang", least: int
     (lang, words) of all word occurrences."""
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    shards = checkpointed(texts.mapInArrow(_shard, SHARDS))
+    shards = checkpointed(texts.mapInArrow(_shard, SHARDS), 2 * SLICE)
     entries = shards.filter("tokens is null")
     totals = checkpointed(entries.groupBy("lang").agg(F.sum("n").alias("words")))
     frequent = checkpointed(entries.groupBy("lang", "word").agg(F.sum("n").alias("n")).filter(F.col("n") >= least))
@@ -174,7 +189,7 @@ def phrase_counts(docs: DataFrame, text_col="text", lang_col="lang", least: int
     bucket_bits = min(halves(bits), (buckets - 1).bit_length())
     ids = (entries.join(small_side(words.drop("n")), ["lang", "word"])
            .groupBy("shard").agg(F.collect_list(F.shiftleft(F.col("code").cast("long"), 32).bitwiseOR(F.col("id"))).alias("ids")))
-    numbered = shards.filter("tokens is not null").select("shard", "tokens", F.col("code").alias("entries")).join(small_side(checkpointed(ids)), "shard")
+    numbered = shards.filter("tokens is not null").select("shard", "tokens", F.col("code").alias("entries")).join(checkpointed(ids).hint("shuffle_hash"), "shard")
     grams = (numbered.select("tokens", "entries", "ids").mapInArrow(_filters(bits, bucket_bits), Q.SCHEMA)
              .groupBy("bucket").applyInArrow(_counted(bits, bucket_bits, least), "w1 long, w2 long, w3 long, f long"))
     return words, checkpointed(grams), totals

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import pickle
 import uuid
 
@@ -16,6 +17,8 @@ from glosspark.llm.words import coded, digests
 WORD = r"[^\x20\x09-\x0D]+"
 #: A side is broadcast only when its measured size is below this.
 BROADCAST_BYTES = 32 << 20
+#: Bytes of the Arrow batches that tasks exchange with Python, about (one row at least).
+ARROW_BYTES = 4 << 20
 #: Rows of texts that a task works on and hands back at a time.
 BATCH_ROWS = 512
 
@@ -25,8 +28,25 @@ def documents(spark, sf_dir: str, *cols: str) -> DataFrame:
     return df.select(*cols) if cols else df
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Write `df` once as Parquet to the shared checkpoint folder and go on from there.
+def small_batches(spark, size: int = ARROW_BYTES) -> None:
+    """Arrow batches of this session hold `size` bytes, not Spark's 64 MB: each is held by the executor and, once more, by Python."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{size}b")
+
+
+@contextlib.contextmanager
+def _with_small_batches(spark, size: int):
+    """small_batches for what is run inside; the session's own value is put back."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    own = spark.conf.get(name, None)
+    small_batches(spark, size)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if own is None else spark.conf.set(name, own)
+
+
+def checkpointed(df: DataFrame, batch_bytes: int = ARROW_BYTES) -> DataFrame:
+    """Write `df` once as Parquet to the shared checkpoint folder and go on from there; Arrow batches hold about `batch_bytes`.
 
     Unlike checkpoint(), which hands on the size estimate of its plan, a table read back has its
     real size: in a loop of joins the estimates multiply until the number itself fills the
@@ -34,7 +54,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
     from glosspark.session import checkpoint_dir
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/glosspark-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _with_small_batches(spark, batch_bytes):
+        df.write.parquet(path)
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(path)
@@ -62,10 +83,14 @@ def small_side(df: DataFrame) -> DataFrame:
     """Broadcast hint behind a size check; a larger side stays a shuffle join.
 
     `df` should be checkpointed: it is read once more here."""
-    strings = [c for c, t in df.dtypes if t in ("string", "binary")]
     width = F.lit(16 * len(df.columns))
-    for c in strings:
-        width = width + F.coalesce(F.octet_length(c), F.lit(0))
+    for c, t in df.dtypes:
+        if t in ("string", "binary"):
+            width = width + F.coalesce(F.octet_length(c), F.lit(0))
+        elif t in ("array<bigint>", "array<int>", "array<double>"):
+            width = width + 8 * F.coalesce(F.size(c), F.lit(0))
+        elif "<" in t:
+            width = width + 4 * F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0))
     n = df.agg(F.sum(width.cast("long")).alias("b")).first()["b"] or 0
     return F.broadcast(df) if n <= BROADCAST_BYTES else df
 

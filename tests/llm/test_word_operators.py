@@ -207,6 +207,44 @@ def test_allocation_is_the_cheapest():
                 assert len(one) + len(two) == units and two <= one
 
 
+def test_jaccard_near_misses_make_no_rows_per_pair(spark, monkeypatch):
+    """Families of texts that nearly link: the comparison gives fewer links than there are sets, in one block or in many."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for family in range(3):
+        base = [f"f{family}w{i}" for i in range(60)]
+        for _ in range(60):
+            w = list(base)
+            for at in rng.choice(60, int(rng.integers(1, 4)), replace=False):
+                w[at] = f"x{rng.integers(0, 1000)}"
+            rows.append((len(rows), " ".join(w)))
+    want = {i: x[:2] for i, x in _brute_components(rows, 2, 80).items()}
+    made, across = [], jaccard_join._Join.across
+
+    def counted(self, open_, *rest):
+        found = across(self, open_, *rest)
+        made.append((found.count(), open_.select("node").distinct().count()))
+        return found
+    monkeypatch.setattr(jaccard_join._Join, "across", counted)
+    monkeypatch.setattr(jaccard_join, "STARS", 0)           # nothing joined by leaders but the first
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert _groups(df, shingle=2) == want and len({x[1] for x in want.values()}) > 3
+    assert made and all(n < sets for n, sets in made), made
+    monkeypatch.setattr(jaccard_join, "PART_BYTES", 4096, raising=False)
+    assert _groups(df, shingle=2) == want
+
+
+def test_jaccard_links_that_words_reject(spark):
+    """A rejected pair hides no other link of its component."""
+    import pyarrow as pa
+    same = np.arange(1, 101, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    rows = pa.table({"key": [7] * 6, "node": [1, 2, 3] * 2, "label": [1, 2, 3] * 2, "probe": [False] * 3 + [True] * 3})
+    sets = pa.table({"node": [1, 2, 3], "items": pa.array([np.sort(same[:k]).tobytes() for k in (100, 99, 98)], pa.binary())})
+    assert jaccard_join._compare(80)(rows, sets).num_rows == 2
+    left = jaccard_join._compare(80, frozenset({(1, 2)}))(rows, sets).to_pylist()
+    assert sorted((x["a"], x["b"]) for x in left) == [(1, 3), (2, 3)]
+
+
 # --- collocations ----------------------------------------------------------------------
 
 def _brute_collocations(rows, least=10, top=2000):
@@ -304,3 +342,55 @@ def test_near_dedup_stage_keeps_columns_with_its_own_names(spark):
     out = cp.near_dedup_stage(spark, df, SF)
     rows = out.collect()
     assert out.columns == df.columns and rows and all(r["_x"] == f"_x{r['doc_id']}" and r["_did"] == f"_did{r['doc_id']}" for r in rows)
+
+
+def _filtered(monkeypatch, stride, n=600_000):
+    """Merged counts of one shard of `n` words by strides, and the most memory numpy held meanwhile."""
+    import tracemalloc
+
+    import pyarrow as pa
+    rng = np.random.default_rng(3)
+    tokens = np.minimum(rng.zipf(1.3, n), 50_000).astype("<u4")
+    ids = [(k << 32) | (k + 1) for k in range(50_000) if k % 5]
+    batch = pa.RecordBatch.from_pylist([{"tokens": collocations.planes(tokens), "entries": 50_000, "ids": ids}],
+                                       schema=pa.schema([("tokens", pa.binary()), ("entries", pa.int32()), ("ids", pa.list_(pa.int64()))]))
+    monkeypatch.setattr(collocations, "STRIDE", stride, raising=False)
+    tracemalloc.start()
+    held = [b for b in collocations._filters(16, 2)([batch])]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    by = collections.defaultdict(list)
+    for r in (r for b in held for r in b.to_pylist()):
+        by[r["bucket"]].append(r)
+    return {k: [x.tolist() for x in quotient.merge(rows, collocations.halves(16), 2)] for k, rows in by.items()}, peak
+
+
+def test_collocations_count_a_shard_in_strides(monkeypatch):
+    """The memory of a task does not follow the words of a shard, and n-grams across strides are counted."""
+    whole, _ = _filtered(monkeypatch, 1 << 30)
+    cut, peak = _filtered(monkeypatch, 1 << 16)
+    assert cut == whole and len(whole) > 1
+    assert peak < 60 << 20
+
+
+def test_arrow_batches_are_small(spark):
+    """Rows of 1 MB go to Python in batches of a few, and the session's own setting is put back."""
+    from glosspark.llm import common
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    df = spark.range(0, 24, 1, 1).select(F.repeat(F.lit("x"), 1 << 20).alias("text"))
+
+    def sizes(batches):
+        import pyarrow as pa
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([b.num_rows], pa.int64())})
+    got = [r["n"] for r in common.checkpointed(df.mapInArrow(sizes, "n long")).collect()]
+    assert sum(got) == 24 and max(got) <= 6 and spark.conf.get(name) == before
+
+
+def test_arrays_count_for_a_broadcast(spark):
+    """A side of 40 MB in arrays is not broadcast; one of 8 MB is."""
+    from glosspark.llm.common import small_side
+    for rows, sent in ((5, False), (1, True)):
+        side = spark.range(rows).select(F.col("id").alias("k"), F.array_repeat(F.col("id"), 1_000_000).alias("ids"))
+        assert ("broadcast" in small_side(side)._jdf.queryExecution().analyzed().toString()) == sent
