@@ -22,10 +22,11 @@ the other units go to the cheapest segments, which leaves out what very many sha
 non-empty segments cannot take H + 1 units (rare) meets all sets of that scheme instead.
 
 *Verification.* The members outside a key's largest component (or its probes, where these are fewer) are
-compared with all of the key, in bounded parts, by odd sketches: bits that differ are at most the
-symmetric difference, so what they rule out is certainly no link. What is left is compared word by
-word on the texts themselves. Only pairs inside one component are left out, so components are
-those of all links.
+compared with all of the key, in blocks of bounded size, by odd sketches: bits that differ are at most the
+symmetric difference, so what they rule out is certainly no link. What is left is compared by the sets of hashes in
+the same task, which goes on only across components that its links leave apart, so pairs never become rows and a task
+gives fewer links than it has sets. Those links are compared word by word on the texts themselves. Only pairs inside
+one component are left out, so components are those of all links.
 
 Equality of sets rests on 128 bits of keyed sums of 64-bit shingle hashes made from BLAKE2b of the words;
 links between different sets are confirmed on the words.
@@ -54,7 +55,7 @@ BAND = 1.5                  # largest size of a band by its smallest, about
 SLACK = 1.25                # segments by the units that the largest sets need
 DELETION_SIZE = 64          # bands up to this size index one-deletion neighbourhoods
 KEYS = 500_000              # keys in one task's turn, about
-PART_ROWS = 16_384          # rows of a family's members in one task's turn, about
+PART_BYTES = 16 << 20       # hashes of a family's members, and of its asking sets, in one block, about
 STARS = 6                   # rounds of comparisons with leaders, at most
 _NO_ID = 1 << 62            # classes without a doc_id are numbered from here
 EQUAL, LESS = 0, 1          # a key of a whole segment, of one without a shingle
@@ -268,37 +269,63 @@ def _plausible(percent: int):
     return run
 
 
-def _compare(percent: int):
-    """Parts of families: rows (key, node, n, label, sketch), members (`probe` false) and asking sets -> the plausible pairs of an
-    asking set and a member of a common key in different components, each once."""
-    def run(table: pa.Table) -> pa.Table:
+def _items(shingle: int):
+    """Class texts -> (node, items): the sorted distinct shingle hashes."""
+    def run(batches):
+        for batch in by_rows(batches):
+            raw, off = P.text_parts(batch.column("text"))
+            for lo, hi in P.slices(off, SLICE):
+                sets = shingle_hashes(raw[off[lo]:off[hi]], off[lo:hi + 1] - off[lo], shingle)
+                yield pa.RecordBatch.from_arrays([batch.column("node").slice(lo, hi - lo), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "items"])
+    return run
+
+
+_LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _compare(percent: int, rejected: frozenset = frozenset()):
+    """Blocks of families: rows (key, node, label), members (`probe` false) and asking sets, and the sets (node, items) -> links
+    that join the components of every asking set and member of a common key that are linked: fewer than there are components.
+    Pairs in `rejected` are none."""
+    def run(table: pa.Table, sets: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        key, node, n, label = (table.column(c).to_numpy() for c in ("key", "node", "n", "label"))
+        key, node = (table.column(c).to_numpy() for c in ("key", "node"))
         probe = table.column("probe").to_numpy(zero_copy_only=False).astype(bool)
-        sketches = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("sketch")]
-        width = np.array([len(s) for s in sketches])
+        of_set = {k: i for i, k in enumerate(sets.column("node").to_pylist())}
+        items = [np.frombuffer(x.as_buffer(), np.uint64) for x in sets.column("items")]
+        sketches = [np.frombuffer(sketch(x), np.uint64) for x in items]
+        at = np.array([of_set[k] for k in node.tolist()], np.int64)
+        n, width = np.array([len(x) for x in items], np.int64), np.array([len(x) for x in sketches])
+        root = np.unique(table.column("label").to_numpy(), return_inverse=True)[1]
+        comp = np.arange(int(root.max()) + 1 if len(root) else 0)       # components joined here
         members = np.flatnonzero(~probe)
         members = members[np.argsort(key[members], kind="stable")]
         asks = np.flatnonzero(probe)
         asks = asks[np.argsort(node[asks], kind="stable")]
         lo, hi = np.searchsorted(key[members], key[asks], "left"), np.searchsorted(key[members], key[asks], "right")
-        lefts, rights, fars = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        links = []
         cuts = np.flatnonzero(np.diff(node[asks])) + 1
         for first, last in zip(np.concatenate(([0], cuts)), np.concatenate((cuts, [len(asks)]))) if len(asks) else ():
             p = asks[first]
+            mine = at[p]
             of = np.concatenate([members[a:b] for a, b in zip(lo[first:last], hi[first:last])])
-            of = of[(label[of] != label[p]) & (least_partner(np.maximum(n[of], n[p]), percent) <= np.minimum(n[of], n[p]))]
+            of = of[(comp[root[of]] != comp[root[p]]) & (least_partner(np.maximum(n[at[of]], n[mine]), percent) <= np.minimum(n[at[of]], n[mine]))]
             of = of[np.unique(node[of], return_index=True)[1]]
-            for w in np.unique(width[of]):
-                some = of[width[of] == w]
-                far = apart(sketches[p], np.stack([sketches[i] for i in some]))
-                ok = far <= reach(n[some], n[p], percent)
-                lefts.append(np.full(int(ok.sum()), node[p]))
-                rights.append(node[some[ok]])
-                fars.append(far[ok])
-        p, q = np.concatenate(lefts), np.concatenate(rights)
-        pairs, at = np.unique(np.stack((np.minimum(p, q), np.maximum(p, q))), axis=1, return_index=True)
-        return pa.Table.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), pa.array(np.concatenate(fars)[at])], schema=_PAIR)
+            far = np.zeros(len(of), np.int64)
+            for w in np.unique(width[at[of]]):
+                some = np.flatnonzero(width[at[of]] == w)
+                far[some] = apart(sketches[mine], np.stack([sketches[i] for i in at[of[some]]]))
+            near = np.flatnonzero(far <= reach(n[at[of]], n[mine], percent))
+            for q in of[near[np.argsort(far[near], kind="stable")]]:
+                if comp[root[q]] == comp[root[p]]:
+                    continue
+                x, y = sorted((items[mine], items[at[q]]), key=len)
+                both = int(np.count_nonzero(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x))
+                pair = (min(int(node[p]), int(node[q])), max(int(node[p]), int(node[q])))
+                if 100 * both >= percent * (len(x) + len(y) - both) and pair not in rejected:
+                    links.append(pair)
+                    comp[comp == comp[root[q]]] = comp[root[p]]
+        return pa.Table.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], schema=_LINK)
     return run
 
 
@@ -374,13 +401,15 @@ class _Join:
         found = self.texts.join(small_side(wanted), ["did", "x"]).select("node", "text")
         return checkpointed(found.mapInArrow(_keys(self.shingle, self.percent, buckets), P.BLOCK_SCHEMA).groupBy("bucket").applyInArrow(_shared, SHARED))
 
-    def confirm(self, pairs: DataFrame) -> None:
-        """Adds the links among checkpointed pairs (a, b) of classes."""
+    def confirm(self, pairs: DataFrame) -> DataFrame:
+        """Adds the links among checkpointed pairs (a, b) of classes, and returns them."""
         sets = self.sets
         left = sets.withColumnsRenamed({"node": "a", "text": "x"}).join(small_side(pairs.select("a", "b")), "a")
         asked = checkpointed(pairs.select("b").distinct())
         right = sets.withColumnsRenamed({"node": "b", "text": "y"}).join(small_side(asked), "b")
-        self.link(checkpointed(left.join(right, "b").select("a", "b", "x", "y").mapInArrow(_confirm(self.shingle, self.percent), "a long, b long")))
+        found = checkpointed(left.join(right, "b").select("a", "b", "x", "y").mapInArrow(_confirm(self.shingle, self.percent), "a long, b long"))
+        self.link(found)
+        return found
 
     def plausible(self, pairs: DataFrame) -> DataFrame:
         """Checkpointed pairs (a, b) whose sizes and sketches leave a link possible."""
@@ -415,8 +444,9 @@ class _Join:
         sized = grouped.join(self.classes.select("node", "n"), "node").select("node", "n", "tie", "rows")
         return checkpointed(sized.mapInArrow(_choose(self.percent), "node long, key long, scheme int"))
 
-    def across(self, rows: DataFrame, probes: DataFrame) -> DataFrame:
-        """Plausible pairs (a, b, least) of a probe and an indexed set of another component in a probed key."""
+    def across(self, rows: DataFrame, probes: DataFrame, rejected: frozenset = frozenset()) -> DataFrame:
+        """Pairs (a, b) of a probe and an indexed set of another component in a probed key that are links by their hashes; of
+        those inside what a task has joined already, none."""
         chosen = probes.filter("key is not null").select("key", "node").distinct().withColumn("asks", F.lit(True))
         keys = chosen.select("key").distinct()
         at = rows.select("key", "node", "label").distinct().join(keys, "key").join(chosen, ["key", "node"], "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
@@ -427,24 +457,35 @@ class _Join:
             every = self.classes.withColumn("scheme", band).join(F.broadcast(lost.select("scheme").distinct()), "scheme").select("scheme", "node").withColumn("asks", F.lit(False))
             whole = every.unionByName(lost.withColumn("asks", F.lit(True))).groupBy("scheme", "node").agg(F.max("asks").alias("asks"))
             at = at.unionByName(self.labelled(whole.select((-1 - F.col("scheme")).cast("long").alias("key"), "node", "asks")).select("key", "node", "label", "asks"))
+            wanted = rows.select("node").unionByName(whole.select("node")).distinct()
+            self.sets = checkpointed(self.class_texts(checkpointed(wanted.join(self.classes.select("node", "did", "x"), "node"))))
         at = checkpointed(at)
         per = at.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"), F.sum(F.col("asks").cast("long")).alias("asking"))
         of = (per.groupBy("key").agg(F.max(F.struct("c", "label")).alias("m"), F.sum("c").alias("members"), F.sum("asking").alias("asking"))
               .select("key", F.col("m.label").alias("major"), (F.col("members") - F.col("m.c") < F.col("asking")).alias("by_minor")))
-        cols = ["key", "node", "n", "label", "sketch"]
-        at = (at.join(of, "key").join(self.classes.select("node", "n", "sketch"), "node")
-              .select("major", *cols, F.when(F.col("by_minor"), F.col("label") != F.col("major")).otherwise(F.col("asks")).alias("asks")))
+        cols = ["key", "node", "label"]
+        at = at.join(of, "key").select("major", *cols, F.when(F.col("by_minor"), F.col("label") != F.col("major")).otherwise(F.col("asks")).alias("asks"))
         at = checkpointed(at)
-        # a family are the keys of one largest component: its members are dealt to parts, in which a pair is compared once for all its keys
-        parts = checkpointed(at.groupBy("major").agg(F.ceil(F.count(F.lit(1)) / PART_ROWS).cast("int").alias("parts")))
+        # a family are the keys of one largest component: its members and its asking sets are dealt to parts, and a block is a part of each
+        once = at.groupBy("major", "node").agg(F.max("asks").alias("asks")).join(self.classes.select("node", (8 * F.col("n") + 64).alias("bytes")), "node")
+        count = lambda c: F.greatest(F.ceil(F.sum(c) / PART_BYTES), F.lit(1)).cast("int")
+        parts = checkpointed(once.groupBy("major").agg(count("bytes").alias("parts"), count(F.when(F.col("asks"), F.col("bytes")).otherwise(0)).alias("turns")))
         at = at.join(small_side(parts), "major")
-        members = at.select("major", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"), F.lit(False).alias("probe"), *cols)
-        asking = at.filter("asks").select("major", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("probe"), *cols)
+        place = lambda c: F.pmod(F.xxhash64("node"), c).cast("int")
+        every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+        members = at.select("major", place("parts").alias("part"), every("turns").alias("turn"), F.lit(False).alias("probe"), *cols)
+        asking = at.filter("asks").select("major", every("parts").alias("part"), place("turns").alias("turn"), F.lit(True).alias("probe"), *cols)
         dealt = checkpointed(members.unionByName(asking))
-        buckets = P.bucket_count(dealt.count(), PART_ROWS, at.sparkSession)
-        dealt = dealt.withColumn("bucket", F.pmod(F.xxhash64("major", "part"), F.lit(buckets)).cast("int")).drop("major", "part")
-        found = dealt.groupBy("bucket").applyInArrow(_compare(self.percent), "a long, b long, least long")
-        return checkpointed(found.groupBy("a", "b").agg(F.min("least").alias("least")))
+        of = self.classes.select("node", "n")
+        total = dealt.select("major", "part", "turn", "node").distinct().join(of, "node").agg(F.sum(8 * F.col("n") + 64)).first()[0] or 0
+        buckets = P.bucket_count(total, 2 * PART_BYTES, at.sparkSession)
+        dealt = dealt.select(F.pmod(F.xxhash64("major", "part", "turn"), F.lit(buckets)).cast("int").alias("bucket"), "probe", *cols)
+        wanted = checkpointed(dealt.select("bucket", "node").distinct())
+        needed = checkpointed(wanted.select("node").distinct())
+        items = self.sets.join(small_side(needed), "node").select("node", "text").mapInArrow(_items(self.shingle), "node long, items binary")
+        sets = checkpointed(items).join(small_side(wanted), "node").select("bucket", "node", "items")
+        found = dealt.groupBy("bucket").cogroup(sets.groupBy("bucket")).applyInArrow(_compare(self.percent, rejected), "a long, b long")
+        return checkpointed(found.distinct())
 
     def run(self) -> None:
         open_ = self.shared_keys()
@@ -468,14 +509,14 @@ class _Join:
             led = open_.drop("leader").join(of.select("key", F.col("l.node").alias("leader"), F.col("l.label").alias("led")), "key").filter(F.col("led") != F.col("label"))
             self.lead(led.select("node", "leader"))
             open_ = self.open_keys(open_)
-        probes = self.probes(open_)
-        pairs = self.across(open_, probes)
-        # of each class first the closest pair: most others are inside a component then
-        first = pairs.groupBy("a").agg(F.min(F.struct("least", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
-        self.confirm(checkpointed(first))
-        rest = self.labelled(pairs.select(F.col("a").alias("node"), "b")).withColumnsRenamed({"node": "a", "label": "la"})
-        rest = self.labelled(rest.withColumnRenamed("b", "node")).filter("label <> la").select("a", F.col("node").alias("b"))
-        self.confirm(checkpointed(rest.join(first, ["a", "b"], "left_anti")))
+        probes, rejected = self.probes(open_), frozenset()
+        while True:
+            pairs = self.across(open_, probes, rejected)
+            odd = pairs.join(self.confirm(pairs), ["a", "b"], "left_anti").collect()
+            if not odd:             # else hashes of different shingles met, and other links may be hidden by these
+                return
+            rejected |= {(r["a"], r["b"]) for r in odd}
+            open_ = self.open_keys(open_)
 
 
 def similar_groups(docs: DataFrame, id_col="doc_id", text_col="text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
