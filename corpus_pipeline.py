@@ -2,6 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and
 read again as the next stage's documents. All but the last keep the columns of `documents`.
+Stages that work in Python keep the session's Arrow batches small (`common.small_batches`).
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glosspark.llm import decontam, langid, mixing, near_dedup, packed, secret_crf
-from glosspark.llm.common import checkpointed, small_side
+from glosspark.llm.common import checkpointed, small_batches, small_side
 
 #: Near copies of the corpus: word shingles and least similarity in percent.
 SHINGLE, PERCENT = 5, 80
@@ -25,6 +26,7 @@ def _shielded(docs: DataFrame, *names: str) -> tuple[DataFrame, dict[str, str]]:
 
 def language_id(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject."""
+    small_batches(spark)
     plain, back = _shielded(docs, "lang_pred", "score", "rejected")
     model = langid.train(docs.filter(~langid.held_out()))
     return langid.identify(plain, model).filter(~F.col("rejected")).drop("lang_pred", "score", "rejected").withColumnsRenamed(back).select(docs.columns)
@@ -32,6 +34,7 @@ def language_id(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (the one with the smallest doc_id)."""
+    small_batches(spark)
     found = near_dedup.near_duplicates(docs, shingle=SHINGLE, percent=PERCENT).filter("kept")
     did = F.coalesce(F.col("id"), F.lit(packed.LAST_ID))
     stay = checkpointed(found.groupBy(did.alias("_did"), F.col("x").alias("_x")).agg(F.count(F.lit(1)).alias("_rows")))
@@ -47,6 +50,7 @@ def near_dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any occurrence of a benchmark window."""
+    small_batches(spark)
     bench = spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet")
     made = ("n_words", "n_hit", "n_items", "items", "contaminated", "_hit", "_items")
     plain, back = _shielded(docs, *made)
@@ -55,6 +59,7 @@ def decontaminate(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def redact_secrets(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with every secret masked; n_chars follows the text."""
+    small_batches(spark)
     plain, back = _shielded(docs, "_secrets")
     out = secret_crf.scan(plain, secret_crf.train(plain), out_col="_secrets", mask=MASK)
     if "n_chars" in docs.columns:

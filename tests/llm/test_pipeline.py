@@ -33,3 +33,16 @@ def test_stages(spark):
     assert {"source_size", "target", "taken"} <= set(docs.columns)
     got = {r["doc_id"]: r["taken"] for r in cp.run(spark, SF).collect()}
     assert got == {r["doc_id"]: r["taken"] for r in docs.collect()}
+
+
+def test_stages_keep_arrow_batches_small(spark):
+    """What a stage returns is run by its caller, so the session's batches are set."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    own = spark.conf.get(name)
+    spark.conf.set(name, str(64 << 20))
+    docs = spark.createDataFrame([(1, "one two three", "en", "web", 13)], "doc_id long, text string, lang string, source string, n_chars long")
+    try:
+        assert corpus_pipeline.near_dedup_stage(spark, docs, "").count() == 1
+        assert spark.conf.get(name) == f"{4 << 20}b"
+    finally:
+        spark.conf.set(name, own)
