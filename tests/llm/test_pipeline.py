@@ -42,7 +42,7 @@ def test_stages_keep_arrow_batches_small(spark):
     spark.conf.set(name, str(64 << 20))
     docs = spark.createDataFrame([(1, "one two three", "en", "web", 13)], "doc_id long, text string, lang string, source string, n_chars long")
     try:
-        assert corpus_pipeline.near_dedup_stage(spark, docs, "").count() == 1
+        assert cp.near_dedup_stage(spark, docs, "").count() == 1
         assert spark.conf.get(name) == f"{4 << 20}b"
     finally:
         spark.conf.set(name, own)
