@@ -75,3 +75,11 @@ def test_repeated_tokens_give_a_row_each_as_in_a_join(spark):
     vocab = spark.createDataFrame([*SPECIAL, ("a", 4), ("a", 5), ("b", 6)], "token string, idx int")
     assert V.encode(df, "text", vocab).first().ids == [1, 4, 5, 6, 2]
 
+
+def test_batches_are_padded_without_a_join_of_the_sequences(spark):
+    rows = [(k, [7] * (k * 31 % 19)) for k in range(131)]
+    out = V.form_batches(spark.createDataFrame(rows, "id int, ids array<int>").repartition(6), "ids", 16, order=["id"])
+    assert "SortMergeJoin" not in _plan(out) and "hashpartitioning(batch" not in _plan(out)
+    order = sorted(rows, key=lambda r: (len(r[1]), r[0]))
+    want = {r[0]: (k // 16, r[1] + [0] * (len(order[min(k // 16 * 16 + 15, 130)][1]) - len(r[1]))) for k, r in enumerate(order)}
+    assert {r.id: (r.batch, r.ids) for r in out.collect()} == want and out.columns == ["batch", "id", "ids"]
